@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, rans, sharding, warc
+from . import jaccard, langid, licenses, packing, pivots, rabitq, rans, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivots.integers(table(spark, sf_dir, "embeddings"))
+    return pivots.top_k(vectors.filter("key % 100 = 0"), vectors)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -42,7 +55,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_rabitq": op2_rabitq,
+        "op4_jaccard": op4_jaccard,
         "op5_langid": op5_langid,
+        "op6_pivots": op6_pivots,
         "op7_warc": op7_warc,
         "op8_sharding": op8_sharding,
         "op9_rans": op9_rans,
@@ -55,6 +71,13 @@ def oracle_sql() -> dict[str, str]:
         f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0)
     )
     return {
+        "op6_pivots": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
         "op7_warc": f"""
             WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
                  o AS (SELECT h, min(page_id) AS owner FROM p GROUP BY h)
