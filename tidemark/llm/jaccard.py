@@ -325,3 +325,16 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     with_set = slim.filter("n > 0 AND doc_id IS NOT NULL").join(closed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("gn")))
     without = slim.filter("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     return with_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(without.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of its component, all columns; of repeated rows of a doc_id and set one stays."""
+    found = materialize(components(docs, words, percent), "components")
+    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(gone, "doc_id", "left_anti") if not gone.isEmpty() else docs
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = materialize(again, "repeated")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
