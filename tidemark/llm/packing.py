@@ -111,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             for part in slices(batch, 64):
                 for k, text in zip(column(part, key).to_pylist(), column(part, "text").to_pylist(), strict=True):
                     keys.append(k)
-                    ids.append(np.array([*encode(text), end_id], dtype="<u4"))
+                    ids.append(np.append(encode(text), end_id).astype("<u4"))
                     held += len(ids[-1])
                     if held >= window_tokens:
                         out, n = flush(keys, ids, base)

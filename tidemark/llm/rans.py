@@ -220,11 +220,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        tail = [] if end_id is None else [end_id]
+        tail = b"" if end_id is None else np.array([end_id], dtype=e.width).tobytes()
         for batch in batches:
             for part in slices(batch, 256):
                 keys = [NULL_ID if k is None else k for k in column(part, "doc_id").to_pylist()]
-                ids = [np.array([*e.ids(t), *tail], dtype=e.width).tobytes() for t in column(part, "text").to_pylist()]
+                ids = [e.encode(t) + tail for t in column(part, "text").to_pylist()]
                 place = np.searchsorted(bounds, np.array(keys, dtype=np.float64), side="left")
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(place, pa.int32())], ["doc_id", "ids", "part"])
 
