@@ -49,7 +49,8 @@ def gram(n: int) -> Tokenizer:
 
     def run(c: Column) -> Column:
         t = _text(c)
-        return _filled(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+        grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.when(F.length(t) < n, _filled(F.array(t))).otherwise(grams)
 
     return run
 

@@ -77,7 +77,9 @@ def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: lis
         tail = whole.orderBy(F.desc("df"), F.desc("token"), F.desc("nth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = each.withColumn("total", F.sum("w").over(whole)).withColumn("tail", F.sum("w").over(tail))
         entries = ranked.withColumn("ahead", F.col("total") - F.col("tail")).filter(F.col("tail") >= m.least(threshold, F.col("total")) - F.lit(1e-9))
-        bags = known.groupBy("id").agg(F.collect_list(F.struct("token", "n", "w")).alias("bag"), F.sum(F.col("n") * F.col("w")).alias("total"))
+        # equal entries are equal strings on both sides, so a hash intersection finds them; the weight is global to the token
+        entry = F.concat_ws("\x1f", F.col("w").cast("string"), F.col("nth").cast("string"), F.col("token"))
+        bags = each.groupBy("id").agg(F.collect_list(entry).alias("bag"), F.sum("w").alias("total"))
         same = kept.select("id", F.xxhash64("tokens").alias("same"), F.md5(F.array_join("tokens", "\x1f")).alias("same5"))
         return entries.select("id", "token", "nth", "total", "ahead", "w"), bags.join(same, "id")
 
@@ -90,15 +92,15 @@ def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: lis
         pb, bags_b, order = materialize(pb, "prefixes"), materialize(bags_b, "bags"), F.col("id_a") != F.col("id_b")
     named = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), "token", "nth", F.col("total").alias(f"total_{s}"), F.col("ahead").alias(f"ahead_{s}"))
     met = named(pa, "a").join(named(pb, "b"), ["token", "nth"]).filter(order)
-    # an entry's weight and all behind it bound what the bags can still share from here on: at the first shared entry, all they share
+    # what stands from a shared entry on bounds the overlap if it is the first that the pair shares; for later ones it is less
     least = F.greatest(m.least(threshold, F.col("total_a")), m.least(threshold, F.col("total_b"))) - F.lit(1e-6)
-    possible = F.least(F.col("total_a"), F.col("total_b")) >= least
-    candidates = met.filter(possible).select("id_a", "id_b", F.least(F.col("total_a") - F.col("ahead_a"), F.col("total_b") - F.col("ahead_b")).alias("rest"), least.alias("least")).groupBy("id_a", "id_b").agg(F.max("rest").alias("rest"), F.max("least").alias("least")).filter("rest >= least").select("id_a", "id_b")
+    rest = F.least(F.col("total_a") - F.col("ahead_a"), F.col("total_b") - F.col("ahead_b"))
+    candidates = met.filter(rest >= least).select("id_a", "id_b").distinct()
     side = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("bag").alias(f"bag_{s}"), F.col("total").alias(f"w_{s}"), F.col("same").alias(f"same_{s}"), F.col("same5").alias(f"same5_{s}"))
     both = materialize(candidates, "candidates").join(side(bags_a, "a"), "id_a").join(side(bags_b, "b"), "id_b")
-    counts_b = F.map_from_arrays(F.transform("bag_b", lambda t: t["token"]), F.transform("bag_b", lambda t: t["n"]))
-    shared = F.aggregate("bag_a", F.lit(0.0), lambda s, t: s + t["w"] * F.least(t["n"], F.coalesce(F.try_element_at(F.col("counts_b"), t["token"]), F.lit(0).cast("long"))))
-    sims = both.withColumn("counts_b", counts_b).withColumn("met", shared).withColumn("sim", m.value(F.col("met"), F.col("w_a"), F.col("w_b")))
+    common = F.array_intersect("bag_a", "bag_b")
+    shared = F.aggregate(common, F.lit(0.0), lambda s, x: s + F.substring_index(x, "\x1f", 1).cast("double")) if weighted else F.size(common).cast("double")
+    sims = both.withColumn("met", shared).withColumn("sim", m.value(F.col("met"), F.col("w_a"), F.col("w_b")))
     equal = (F.col("same_a") == F.col("same_b")) & (F.col("same5_a") == F.col("same5_b"))
     return sims.filter(m.matches(F.col("sim"), threshold) | equal).select("id_a", "id_b", "sim")
 
