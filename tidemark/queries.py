@@ -484,7 +484,7 @@ def numeric_feature(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", number(F.substring("o_orderpriority", 1, 1), -1.0).alias("a"), number("o_orderpriority", -1.0).alias("b"))
 
 
-@query("SELECT r_regionkey, r_regionkey::DOUBLE AS key_, 1.0::DOUBLE AS hot FROM region")
+@query("SELECT r_regionkey, r_regionkey::DOUBLE AS key_, len(string_split(r_name, ' '))::DOUBLE AS hot FROM region")
 def feature_view(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
@@ -509,7 +509,7 @@ def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def active_learning(spark, sf_dir):
     """Errors of actively trained models, batch by batch. Labels come from the table of labels; tests check the loop."""
     points, truth = _points(spark, sf_dir)
-    learner = active.ActiveLearner(active.svm(20, 0.01), active.margin_selector, active.TableLabels(truth), budget=30, batch=10, bootstrap=10)
+    learner = active.ActiveLearner(active.svm(20, 0.01), active.margin_selector, active.TableLabels(truth), budget=20, batch=10, bootstrap=10)
     full = points.join(truth, "id")
     rows = [(s.labelled.count(), active.train_error(s.model, full)) for s in learner.steps(points)]
     return spark.createDataFrame(rows, "labels long, error double")
