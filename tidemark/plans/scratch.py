@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import getpass
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +36,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    for made in _COLLECTING:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+_COLLECTING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Lists the folders that are written meanwhile, for ``discard`` once nothing reads them."""
+    made: list[str] = []
+    _COLLECTING.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTING.remove(made)
+
+
 def discard(df_or_path, spark: SparkSession | None = None) -> None:
     """Delete a scratch folder early, once nothing reads it any more."""
     path = getattr(df_or_path, "_scratch_path", df_or_path)
