@@ -10,7 +10,7 @@ corpus's size. Every candidate is verified on whole sets; nothing is missed and
 
 Equal sets count as one. Candidates come in two rounds: each index bucket first meets its smallest member
 only; after the links found so far are closed transitively, members of a bucket in different components meet each other
-(in blocks if there are many), unless sizes or parity sketches rule the pair out, in the first bucket they share.
+(in blocks if there are many), unless sizes or parity sketches rule the pair out.
 Members of one component need no further check, so a large group of near copies costs no square of its size.
 """
 
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.scratch import materialize, shuffle_partitions
+from ..plans.scratch import collecting, discard, materialize, shuffle_partitions
 from ..plans.ship import ship
 from .common import column, grouped, mix64, slices, utf8_bytes
 
 _U = np.uint64
-SKETCH_BITS = 256
+SKETCH_BITS = 1024
 
 
 class WordHashes(dict):
@@ -203,13 +203,14 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n_docs = part.num_rows
                 sizes = np.bincount(d, minlength=n_docs)
                 parity = (np.bincount(d * SKETCH_BITS + (mix64(e, 51) % _U(SKETCH_BITS)).astype(np.int64), minlength=n_docs * SKETCH_BITS) & 1).astype(np.uint8)
-                sketch = np.packbits(parity.reshape(n_docs, SKETCH_BITS), axis=1)
+                sketch = np.packbits(parity).view(np.int64)
+                words_at = pa.array(np.arange(n_docs + 1) * (SKETCH_BITS // 64), pa.int32())
                 kd, key = index_keys(d, e, n_docs, bands, percent)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(kd, minlength=n_docs))))
                 keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(sizes), pa.array(_per_doc(d, n_docs, mix64(e, 61)).view(np.int64)), pa.array(_per_doc(d, n_docs, mix64(e, 62)).view(np.int64)), keys, pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "n", "h1", "h2", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(sizes), pa.array(_per_doc(d, n_docs, mix64(e, 61)).view(np.int64)), pa.array(_per_doc(d, n_docs, mix64(e, 62)).view(np.int64)), keys, pa.ListArray.from_arrays(words_at, pa.array(sketch))], ["doc_id", "n", "h1", "h2", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch array<long>")
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
@@ -241,6 +242,15 @@ def _buckets(entries: DataFrame) -> DataFrame:
     return entries.repartition(shuffle_partitions(entries.sparkSession), "key").mapInArrow(run, "key long, id long, least long")
 
 
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches allow: no two sets differ in fewer elements than their sketches in bits."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    gap = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return both.filter(near & (gap * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     needed = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
@@ -260,38 +270,46 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
 
 def _across(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of bucket members in different components that sizes and sketches allow, in their first shared bucket.
+    """Pairs of bucket members in different components that sizes and sketches allow; a pair may come more than once.
 
-    ``rows`` has key, id, component, n, keys, sketch, members.
+    ``rows`` has key, id, component, n, sketch, members.
     """
     mine = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     cut = rows.withColumn("cuts", F.ceil(F.col("members") / F.lit(block)).cast("int")).withColumn("mine", mine)
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    dealt = met.select("key", "lo", "hi", "mine", "id", "component", "n", "keys", "sketch").repartition(shuffle_partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = met.select("key", "lo", "hi", "mine", "id", "component", "n", "sketch").repartition(shuffle_partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()  # a pair may share many buckets of this task
+
+        def emit() -> pa.RecordBatch:
+            pairs = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], ["a", "b"])
+
         for t in grouped(batches, ["key", "lo", "hi"]):
             ids, comp, n, mine = (t.column(c).to_numpy() for c in ("id", "component", "n", "mine"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-            keys, key = t.column("keys").to_pylist(), t.column("key")[0].as_py()
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
             left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-            a, b = [], []
             for s in range(0, len(left), 256):
                 rows = left[s : s + 256]
                 x, y = n[rows][:, None], n[right][None, :]
                 ok = (comp[rows][:, None] != comp[right][None, :]) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent)
                 if lo == hi:
                     ok &= np.arange(s, s + len(rows))[:, None] < np.arange(len(right))[None, :]
-                gap = sum(np.bitwise_count(sketch[rows, w][:, None] ^ sketch[right, w][None, :]).astype(np.int64) for w in range(sketch.shape[1]))
-                ok &= gap * (100 + percent) <= (x + y) * (100 - percent)
-                for i, j in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
-                    p, q = rows[i], right[j]
-                    if min(set(keys[p]) & set(keys[q])) == key:
-                        a.append(int(min(ids[p], ids[q])))
-                        b.append(int(max(ids[p], ids[q])))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                i, j = np.nonzero(ok)
+                p, q = rows[i], right[j]
+                gap = np.zeros(len(p), np.int64)
+                for w in range(sketch.shape[1]):
+                    gap += np.bitwise_count(sketch[p, w] ^ sketch[q, w])
+                near = gap * (100 + percent) <= (n[p] + n[q]) * (100 - percent)
+                u, v = ids[p[near]], ids[q[near]]
+                found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+                if len(found) > 500_000:
+                    yield emit()
+        if found:
+            yield emit()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -303,25 +321,34 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     no set and links with nothing. Rows with the same doc_id are one document of which each text may link; a null doc_id
     is its own component, null. Other columns are left out, and an empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    sigs = materialize(signatures(docs, words, percent), "signatures")
-    filled = sigs.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    reps = materialize(reps.filter(F.size("keys") > 0).select(F.col("doc_id").alias("id"), "n", "keys", "sketch"), "representatives")
-    buckets = materialize(_buckets(reps.select("id", F.explode("keys").alias("key"))), "buckets")
-    first = materialize(buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "first")
-    linked = materialize(_verify(docs, first, words, percent), "linked")
-    parts = materialize(connected_components(linked), "parts")
-    placed = materialize(buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
-    open_ = materialize(placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key", "members"), "open")
-    rows = materialize(placed.join(open_, "key"), "rows").join(reps, "id")
-    second = materialize(_across(rows, percent, block).distinct().join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        linked = linked.unionByName(_verify(docs, second, words, percent))
-        parts = connected_components(linked)
-    closed = materialize(classes.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "rep").alias("component_id")), "closed")
-    slim = sigs.select("doc_id", "n", "h1", "h2")
+    spark = docs.sparkSession
+    ship(spark)
+    with collecting() as made:
+        sigs = materialize(signatures(docs, words, percent), "signatures")
+        slim = materialize(sigs.select("doc_id", "n", "h1", "h2"), "sets")
+        filled = sigs.filter("n > 0 AND doc_id IS NOT NULL")
+        classes = materialize(slim.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+        named = classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep")
+        reps = filled.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+        reps = materialize(reps.filter(F.size("keys") > 0).select(F.col("doc_id").alias("id"), "n", "keys", "sketch"), "representatives")
+        discard(sigs)
+        buckets = materialize(_buckets(reps.select("id", F.explode("keys").alias("key"))), "buckets")
+        stars = materialize(buckets.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+        first = materialize(_possible(stars, reps, percent), "first")
+        linked = materialize(_verify(docs, first, words, percent), "linked")
+        parts = materialize(connected_components(linked), "parts")
+        placed = materialize(buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+        open_ = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key", "members")
+        rows = materialize(placed.join(materialize(open_, "open"), "key"), "rows").join(reps.select("id", "n", "sketch"), "id")
+        second = materialize(_across(rows, percent, block).distinct().join(first, ["a", "b"], "left_anti"), "second")
+        if not second.isEmpty():
+            linked = linked.unionByName(_verify(docs, second, words, percent))
+            parts = connected_components(linked)
+        closed = classes.join(parts, F.col("rep") == F.col("id"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "rep").alias("component_id"))
+        closed = materialize(closed, "closed")
+    for path in made:
+        if path not in (sigs._scratch_path, slim._scratch_path, closed._scratch_path):
+            discard(path, spark)
     with_set = slim.filter("n > 0 AND doc_id IS NOT NULL").join(closed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("gn")))
     without = slim.filter("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     return with_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(without.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
