@@ -53,13 +53,16 @@ def _bisect(shares: DataFrame, holds: Column, up: bool) -> float:
 
 
 def exponent(sizes: DataFrame, target_entropy: float | None, max_repeat: float | None, budget_tokens: float | None = None) -> float:
-    """The exponent for sources of ``tokens``. ``target_entropy`` is a share of the largest, the logarithm of their number."""
+    """The exponent for sources of ``tokens``. ``target_entropy`` is a share of the largest, the logarithm of their number.
+
+    With a repetition limit alone, the sources are as even as the limit allows.
+    """
     filled = sizes.filter("tokens > 0")
     total = filled.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     if not total.n or total.n == 1:
         return 1.0
     shares = materialize(filled.select((F.col("tokens") / F.lit(float(total.t))).alias("p")), "shares")
-    out = 1.0
+    out = 1.0 if max_repeat is None else 0.0
     if target_entropy is not None:
         entropy = F.log(F.sum("w")) - F.sum(F.col("w") * F.log("w")) / F.sum("w")
         out = _bisect(shares, entropy >= F.lit(min(1.0, target_entropy) * math.log(total.n) - 1e-12), True)
