@@ -101,6 +101,33 @@ def test_pack_covers_and_fills(lengths, capacity):
     assert sum(sum(n for _, n in p) < capacity for p in by.values()) <= 1 and set(by) == set(range(len(by)))
 
 
+def test_pack_takes_the_cheapest_sequence_with_room():
+    """In windows of many sequences too: a piece is cut only where no sequence has room for all of it."""
+    r = np.random.default_rng(3)
+    for many, capacity, linear, quadratic in ((2500, 1024, 1.0, 0.01), (3000, 256, 0.0, 0.01), (400, 64, 1.0, 0.0), (50, 1024, 1.0, 0.01)):
+        lengths = np.maximum(1, r.lognormal(5.0, 1.2, many)).astype(int).tolist()
+        sequence = sum(n // capacity for n in lengths)
+        total = sum(n % capacity for n in lengths)
+        bins = -(-total // capacity)
+        room, cost = np.full(bins, capacity), np.zeros(bins)
+        if total % capacity:
+            room[-1] = total % capacity
+        want = []
+        for n, d in sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1])):
+            start = lengths[d] - n
+            while n:
+                can = np.flatnonzero(room >= n) if start == lengths[d] // capacity * capacity else np.zeros(0, int)
+                can = can if len(can) else np.flatnonzero(room > 0)
+                b = can[np.argmin(cost[can])]
+                part = int(min(n, room[b]))
+                want.append((d, start, part, sequence + int(b)))
+                room[b] -= part
+                cost[b] += linear * part + quadratic * part * part
+                n, start = n - part, start + part
+        got = [x[:4] for x in packing.pack(lengths, capacity, linear, quadratic) if x[2] < capacity]
+        assert sorted(got) == sorted(want)
+
+
 def brute_components(ids, links):
     root = {i: i for i in ids}
 

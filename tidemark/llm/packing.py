@@ -46,36 +46,48 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     if total % capacity:  # the last sequence is short: it has room for what is left over only
         used[-1] = capacity - total % capacity
     short = used[-1] if bins else 0
-    room = [(0.0, b) for b in range(bins)]
-    heapq.heapify(room)
+    # Lengths only fall, so a sequence lies in ``fits`` if it has room for the piece at hand, and else waits by its room.
+    fits: list[tuple[float, int]] = []
+    waits: list[tuple[float, int, int]] = []  # (cost, sequence, filled), out of date if it was filled or fits since
+    by_room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    in_fits = [False] * bins
+
+    def put(c: float, b: int, n: int) -> None:
+        room = capacity - used[b]
+        if room >= n:
+            in_fits[b] = True
+            heapq.heappush(fits, (c, b))
+        elif room:
+            in_fits[b] = False
+            by_room[room].append((c, b))
+            heapq.heappush(waits, (c, b, used[b]))
+
     tails.sort(key=lambda x: (-x[0], x[1]))
+    lowest = capacity
+    for b in range(bins):
+        put(0.0, b, lowest)
     for n, d, start in tails:
-        passed, placed = [], False
-        while room:
-            c, b = heapq.heappop(room)
-            if used[b] + n <= capacity:
-                pieces.append((d, start, n, sequence + b, used[b]))
-                used[b] += n
-                if used[b] < capacity:
-                    heapq.heappush(room, (c + cost(n), b))
-                placed = True
-                break
-            passed.append((c, b))
-            if len(passed) >= 64 and n > 64:  # only the cheapest are tried whole; beyond them a cut costs less than the search
-                break
-        if not placed:
-            kept = []
-            while n:
-                c, b = passed.pop(0) if passed else heapq.heappop(room)
-                part = min(n, capacity - used[b])
-                pieces.append((d, start, part, sequence + b, used[b]))
-                used[b] += part
-                n, start = n - part, start + part
-                if used[b] < capacity:
-                    kept.append((c + cost(part), b))
-            passed += kept
-        for x in passed:
-            heapq.heappush(room, x)
+        while lowest > n:
+            lowest -= 1
+            for c, b in by_room[lowest]:
+                if not in_fits[b] and capacity - used[b] == lowest:
+                    put(c, b, lowest)
+            by_room[lowest] = []
+        if fits:
+            c, b = heapq.heappop(fits)
+            pieces.append((d, start, n, sequence + b, used[b]))
+            used[b] += n
+            put(c + cost(n), b, lowest)
+            continue
+        while n:  # no sequence has room for all of it
+            c, b, filled = heapq.heappop(waits)
+            if in_fits[b] or used[b] != filled:
+                continue
+            part = min(n, capacity - used[b])
+            pieces.append((d, start, part, sequence + b, used[b]))
+            used[b] += part
+            n, start = n - part, start + part
+            put(c + cost(part), b, lowest)
     if short:
         last = sequence + bins - 1
         pieces = [(d, s, n, q, o - short if q == last else o) for d, s, n, q, o in pieces]
