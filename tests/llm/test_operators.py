@@ -293,6 +293,21 @@ def test_langid(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_langid_learns_from_distinct_texts(spark):
+    """Copies neither cost a language its prototype nor fill its sample."""
+    few = [f"moi {w} talo" for w in ("kissa", "koira", "lintu")]
+    many = [f"the {chr(97 + i % 26)}{chr(97 + i // 26)} house" for i in range(500)]
+    rows = [("fi", few[i % 3]) for i in range(9000)] + [("en", t) for t in many] + [("en", many[i % 2]) for i in range(3000)]
+    rows += [("de", None)] * 50 + [("de", "12 34")] * 50 + [("de", f"{i}") for i in range(400)] + [("de", "das haus")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.train(df, F.lit(True), per_lang=100)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    want = {"fi": few, "en": sorted(many, key=hashes.get)[:100], "de": ["das haus"]}
+    assert set(got) == set(want)
+    for k, texts in want.items():
+        assert np.allclose(got[k], langid.Bundler().bundle(texts).sum(axis=0, dtype=np.float64), atol=1e-4)
+
+
 def test_langid_bundles_as_defined():
     b = langid.Bundler(128, 3)
     v = lambda c: langid.vectors(np.array([ord(c)]), 128)[0].astype(int) if c != " " else langid.vectors(np.array([0]), 128)[0].astype(int)

@@ -128,16 +128,21 @@ def bundler(dim: int, order: int) -> Bundler:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 2000, max_langs: int = 8192, dim: int = DIM, order: int = ORDER) -> dict[str, np.ndarray]:
     """Prototypes of the languages named in the rows where ``learn`` holds.
 
-    Fits on a bounded sample: about ``per_lang`` rows of each language (all, if there are fewer), picked by a hash of
-    the text, of the ``max_langs`` most frequent languages; ISO 639-3 has fewer. The driver gets a vector for each
-    language and task, from 16 tasks.
+    Fits on a bounded sample: ``per_lang`` distinct texts with a letter of each language (all, if there are fewer), those
+    of the smallest hashes, of the ``max_langs`` languages with the most such texts; ISO 639-3 has fewer. Copies of a
+    text count once. The driver gets a vector for each language and task, from 16 tasks.
     """
     ship(docs.sparkSession)
-    labelled = docs.filter(learn & F.col(lang).isNotNull())
-    rows = labelled.filter(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = F.broadcast(labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = rows.join(sizes, "lang").filter(share < F.lit(1.3 * per_lang) / F.col("count")).select("lang", "text")
+    labelled = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    distinct = rows.select("lang", "hash").distinct()
+    sizes = F.broadcast(distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs))
+    # So many of the smallest hashes that fewer than per_lang of them has a chance below 1e-20.
+    share = F.lit(per_lang + 10 * per_lang**0.5 + 100) / F.col("count")
+    near = distinct.join(sizes, "lang").filter(F.col("hash").cast("double") / F.lit(2.0**64) + 0.5 < share)
+    hashes = near.groupBy("lang").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    cuts = F.broadcast(hashes.select("lang", F.element_at("hashes", F.least(F.size("hashes"), F.lit(per_lang))).alias("cut")))
+    picked = rows.join(cuts, "lang").filter("hash <= cut").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, sums = bundler(dim, order), {}
