@@ -46,6 +46,17 @@ def test_encoder_equals_the_library(text):
         assert e.kind and e.ids(text).tolist() == ids_of(path, text)
 
 
+def test_encoder_equals_the_library_on_every_plain_character():
+    """Capitals whose small letters lie beyond the fixed classes (Ɓ, Ə, Ʒ, Ⱥ ...) among them."""
+    for path in (BYTES, WORDS):
+        e = tokens.encoder(path)
+        assert e.kind
+        for c in map(chr, [*range(1, 0x250), *range(0x2010, 0x2028)]):
+            for text in (f"{c}aya", f"a{c}b", f"x {c}. {c}{c}"):
+                assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert e.ids("plain text").tolist() == ids_of(path, "plain text")
+
+
 def check_pieces(rows, docs, capacity):
     """Every id of every row lies in one piece, and sequences are gapless."""
     want = collections.Counter((k, zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in docs)
