@@ -471,6 +471,19 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_know_whole_texts():
+    """Bodies and single passages name their license, not one that shares some of their words."""
+    a = licenses.built(licenses.TEMPLATES, licenses.BASE_PHRASES)
+    found = lambda text: {s["label"] for s in licenses.scan_words(licenses.words_of(text.encode()), a)["spans"]}
+    for label, text in licenses.TEXTS.items():
+        assert found("x y z " + text.upper() + " more") == {label}, label
+        assert all(label in found(p) for p in licenses.passages(text)), label
+    assert found("The software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.") == {"mit"}
+    for label in ("agpl-3.0", "lgpl-3.0", "gpl-3.0", "gpl-2.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-4.0", "epl-2.0"):
+        assert found(licenses.TEMPLATES[label][-1 if label not in licenses.TEXTS else 1]) == {label}
+    assert not found("this is plain prose about the terms of a program and the rights of its users " * 9)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=4), st.text("abcd", max_size=40))
 def test_matching_statistics(templates, text):

@@ -10,6 +10,7 @@ ends at a word exactly when its state is on the suffix path of the state reached
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.ship import ship
 from .common import column, slices, utf8_bytes
+from .license_texts import TEXTS
 
 # Base phrases and their labels.
 BASE_PHRASES = {
@@ -27,7 +29,7 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Notices and opening passages of public licenses, by SPDX-like label.
+# Notices of public licenses, by SPDX-like label.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license, version 2.0",
@@ -49,8 +51,31 @@ TEMPLATES = {
     ],
     "cc-by-nc-4.0": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "cc-by-4.0": ["this work is licensed under a creative commons attribution 4.0 international license"],
+    "cc-by-sa-4.0": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "cc0-1.0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "epl-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
 }
+_NOTICE = "this {} is free software: you can redistribute it and/or modify it under the terms of the gnu {}general public license as published by the free software foundation, either version {} of the license, or (at your option) any later version."
+for _label, _what, _kind, _version in (("gpl-2.0", "program", "", "2"), ("agpl-3.0", "program", "affero ", "3"), ("lgpl-2.1", "library", "lesser ", "2.1"), ("lgpl-3.0", "program", "lesser ", "3")):
+    TEMPLATES[_label] = [f"licensed under the gnu {_kind}general public license, version {_version}", _NOTICE.format(_what, _kind, _version)]
+
+
+def passages(text: str, least: int = 40) -> list[str]:
+    """The text's paragraphs, one a line; short ones go with those after them, or at the end before them."""
+    out, held = [], []
+    for line in text.strip().split("\n"):
+        held += line.split()
+        if len(held) >= least:
+            out.append(held)
+            held = []
+    if held:
+        out[-1:] = [out[-1] + held] if out else [held]
+    return [" ".join(x) for x in out]
+
+
+#: Notices, whole texts, and each passage of a whole text: a part of a license names it too.
+for _label, _text in TEXTS.items():
+    TEMPLATES[_label] = list(dict.fromkeys([*TEMPLATES.get(_label, []), " ".join(_text.split()), *passages(_text)]))
 
 #: Bytes outside the word class become blanks; A-Z become a-z.
 _TABLE = bytes(ord(chr(b).lower()) if chr(b).isascii() and chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
@@ -170,7 +195,25 @@ def scan_words(words: list[bytes], automaton: TemplateAutomaton, min_match: int
                 matches.append((previous[0], previous[2], previous[1]))
     spans = chain(matches, automaton, max_gap)
     found = [s for s in spans if s["covered"] >= min_cover * automaton.sequences[s["sequence"]][1]]
-    return {"base": base, "spans": found}
+    return {"base": base, "spans": strongest(found)}
+
+
+def strongest(spans: list[dict]) -> list[dict]:
+    """Without those spans that lie within another label's span of more covered words: licenses share passages."""
+    if len({s["label"] for s in spans}) < 2:
+        return spans
+    start, end, covered = (np.array([s[k] for s in spans]) for k in ("start", "end", "covered"))
+    label = np.array([s["label"] for s in spans], dtype=object)
+    return [s for s in spans if not ((start <= s["start"]) & (end >= s["end"]) & (covered > s["covered"]) & (label != s["label"])).any()]
+
+
+def built(templates: dict[str, list[str]], phrases: dict[str, str]) -> TemplateAutomaton:
+    """The worker's automaton, kept between tasks."""
+    kept, key = sys.__dict__.setdefault("_tidemark_automata", {}), repr((templates, phrases))
+    if key not in kept:
+        kept.clear()
+        kept[key] = TemplateAutomaton(templates, phrases)
+    return kept[key]
 
 
 def chain(matches: list[tuple[int, int, int]], automaton: TemplateAutomaton, max_gap: int) -> list[dict]:
@@ -200,11 +243,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: di
     template, 1 where a base phrase stands. ``spans`` lists the label, first and last word and cover of each span.
     """
     ship(docs.sparkSession)
-    templates, phrases = templates or TEMPLATES, phrases or BASE_PHRASES
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = TemplateAutomaton(templates, phrases)
+        automaton = built(templates or TEMPLATES, phrases or BASE_PHRASES)
         for batch in batches:
             for part in slices(batch, 512):
                 rows: dict[str, list] = defaultdict(list)
