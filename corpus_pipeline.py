@@ -17,8 +17,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (without a letter) go; a missing lang is filled with the prediction."""
+    """Documents in no language (without a letter) go; a missing lang is filled with the prediction, if there is any."""
     prototypes = langid.train(docs, ~langid.held_out())
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = langid.predict(docs, prototypes, names=("_lang", "_score"))
     return named.filter(F.col("_lang") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 

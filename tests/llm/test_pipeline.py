@@ -42,6 +42,12 @@ def test_stages(spark, tmp_path):
     assert whole.where("n > 1024 OR n <> end").count() == 0
 
 
+def test_language_id_keeps_documents_where_no_lang_is_given(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "été", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, DOCS)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, None), (4, None)]
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DOCS)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
