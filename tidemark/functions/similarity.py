@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """``value`` of (met, w1, w2); ``matches`` of (value, threshold); ``least`` overlap that a bag of a weight needs to match."""
+    """``value`` of (met, w1, w2); ``matches`` of (value, threshold); ``least`` overlap that a bag of a weight needs to match
+    any other, and ``needed`` overlap of two bags of given weights."""
 
     name: str
     value: Callable[[Column, Column, Column], Column]
     least: Callable[[float, Column], Column]
+    needed: Callable[[float, Column, Column], Column]
     tolerance: float = 0.0
 
     def matches(self, value: Column, threshold: float) -> Column:
@@ -30,11 +32,12 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.nullif(b, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+_TOLERANCE = 1e-6
 METRICS = {
-    "jaccard": Metric("jaccard", lambda m, a, b: _ratio(m, a + b - m), lambda t, w: F.lit(float(t) - 1e-6) * w, 1e-6),
-    "overlap": Metric("overlap", lambda m, a, b: m, lambda t, w: F.lit(float(t)) + w * 0),
-    "dice": Metric("dice", lambda m, a, b: _ratio(m * 2, a + b), lambda t, w: F.lit(t / (2.0 - t)) * w),
-    "cosine": Metric("cosine", lambda m, a, b: _ratio(m, F.sqrt(a * b)), lambda t, w: F.lit(float(t) ** 2) * w),
+    "jaccard": Metric("jaccard", lambda m, a, b: _ratio(m, a + b - m), lambda t, w: F.lit(float(t) - _TOLERANCE) * w, lambda t, a, b: F.lit((t - _TOLERANCE) / (1 + t - _TOLERANCE)) * (a + b), _TOLERANCE),
+    "overlap": Metric("overlap", lambda m, a, b: m, lambda t, w: F.lit(float(t)) + w * 0, lambda t, a, b: F.lit(float(t))),
+    "dice": Metric("dice", lambda m, a, b: _ratio(m * 2, a + b), lambda t, w: F.lit(t / (2.0 - t)) * w, lambda t, a, b: F.lit(t / 2.0) * (a + b)),
+    "cosine": Metric("cosine", lambda m, a, b: _ratio(m, F.sqrt(a * b)), lambda t, w: F.lit(float(t) ** 2) * w, lambda t, a, b: F.lit(float(t)) * F.sqrt(a * b)),
 }
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..plans.parser import is_approximate, parse
 from ..plans.scratch import materialize
+from ..sources import catalog
 from . import aqp
 
 
@@ -39,6 +40,14 @@ def with_row_ids(df: DataFrame, key: list[str] | None = None, unique: bool = Fal
     return df.select(h.alias("hash"), F.lit(1).alias("dup"), "*")
 
 
+def _once(updates: DataFrame, value: str) -> DataFrame:
+    """(_hash, _value, _has): one row a hash, so that an update never multiplies rows."""
+    least = updates.groupBy(F.col("hash").alias("_hash")).agg(F.min(F.struct(F.col(value).alias("v"))).alias("lo"), F.max(F.struct(F.col(value).alias("v"))).alias("hi"))
+    clash = F.raise_error(F.concat(F.lit("two different values for row "), F.col("_hash")))
+    kind = dict(updates.dtypes)[value]
+    return least.select("_hash", F.when(F.col("lo") == F.col("hi"), F.col("lo.v")).otherwise(clash.cast(kind)).alias("_value"), F.lit(True).alias("_has"))
+
+
 def consistent(df: DataFrame, key: str, ratio: float) -> tuple[DataFrame, float]:
     """Rows whose key falls into bucket 0 of floor(1 / ratio), and the ratio this really is."""
     n = max(1, int(1.0 / ratio + 1e-9))
@@ -101,18 +110,19 @@ class WorkingSet:
         return low.index(name.lower())
 
     def update_attr(self, attr: str, updates: DataFrame, value: str = "value", missing: str = "null") -> WorkingSet:
-        """Replaces ``attr`` by the value of the row's hash. A missing hash gives null, or is kept (``missing="keep"``)."""
-        new = updates.select(F.col("hash").alias("_hash"), F.col(value).alias("_value"), F.lit(True).alias("_has"))
-        both = self.clean.join(new, self.clean["hash"] == new["_hash"], "left")
+        """Replaces ``attr`` by the value of the row's hash. A missing hash gives null, or is kept (``missing="keep"``).
+
+        A hash may be named more than once with the same value; differing values fail when the result is read.
+        """
+        both = self.clean.join(_once(updates, value), self.clean["hash"] == F.col("_hash"), "left")
         out = F.when(F.col("_has"), F.col("_value")).otherwise(self.clean[attr]) if missing == "keep" else F.col("_value")
         self.clean = both.select(*[out.alias(c) if c == attr else self.clean[c] for c in self.clean.columns])
         return self._changed()
 
     def update_dup(self, updates: DataFrame, value: str = "dup") -> WorkingSet:
-        """Replaces duplicate counts; 1 where there is none."""
-        new = updates.select(F.col("hash").alias("_hash"), F.col(value).cast("int").alias("_dup"))
-        both = self.clean.join(new, self.clean["hash"] == new["_hash"], "left")
-        self.clean = both.select(*[F.coalesce("_dup", F.lit(1)).alias("dup") if c == "dup" else self.clean[c] for c in self.clean.columns])
+        """Replaces duplicate counts; 1 where there is none. Repeated hashes as for ``update_attr``."""
+        both = self.clean.join(_once(updates, value), self.clean["hash"] == F.col("_hash"), "left")
+        self.clean = both.select(*[F.coalesce(F.col("_value").cast("int"), F.lit(1)).alias("dup") if c == "dup" else self.clean[c] for c in self.clean.columns])
         return self._changed()
 
     def keep(self, hashes: DataFrame) -> WorkingSet:
@@ -143,13 +153,18 @@ class WorkingSet:
         self.clean = self.clean.persist()
         return self
 
-    def write_back(self, path: str | None = None) -> DataFrame:
-        """The whole cleaned table in its own columns, written to ``path`` if there is one. Only for samples of everything."""
+    def write_back(self, path: str | None = None, table: str | None = None) -> DataFrame:
+        """The whole cleaned table in its own columns, written to ``path`` or over the catalog table ``table``, if given.
+
+        Only for samples of everything. The new rows are written aside before the table gives up its old ones.
+        """
         if self.ratio < 1.0:
             raise ValueError(f"a sample of {self.ratio:g} of the rows cannot replace its table")
         out = self.clean.select(*[c for c in self.base.columns if c not in ("hash", "dup")])
+        if table:
+            return catalog.overwrite(out, table)
         if path:
-            out.write.mode("overwrite").parquet(path)
+            materialize(out, "write-back").write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
         return out
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import edit_distance, metric, similarity
+from ..functions.similarity import bag_weight, edit_distance, intersection_weight, metric, similarity
 from ..functions.tokens import Tokenizer, tokenize, word
 from ..plans.scratch import materialize
 
@@ -23,86 +23,171 @@ def token_weights(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", "df", F.log10(F.col("rows") / F.col("df")).alias("weight"))
 
 
-def weight_map(rows: DataFrame, tokens: str = "tokens") -> Column:
-    """The weights as a literal map, for vocabularies that fit in a plan."""
-    got = token_weights(rows, tokens).collect()
-    pairs = [F.lit(x) for r in got for x in (r.token, r.weight)]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-
-
 def _tokenized(df: DataFrame, id: str, cols: list[str], tokenizer: Tokenizer, min_size: int) -> DataFrame:
     out = df.select(F.col(id).alias("id"), tokenize(tokenizer, *cols).alias("tokens"))
     return out.withColumn("kept", F.size("tokens") >= min_size)
 
 
 def naive(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, similarity_name: str = "jaccard", threshold: float = 0.5, weighted: bool = False) -> DataFrame:
-    """Every pair compared. The weights' row count is that of ``b`` (of ``a`` in a self-join)."""
+    """Every pair compared: quadratic by definition, a check for small tables. The weights' row count is that of ``b`` (of ``a``
+    in a self-join). Bags with their weights are joined to the rows, nothing is collected."""
     cols, tokenizer, m = cols or [c for c in a.columns if c != id], tokenizer or word(), metric(similarity_name)
-    x = _tokenized(a, id, cols, tokenizer, 0)
-    y = _tokenized(b, id, cols, tokenizer, 0) if b is not None else x
-    weights = None
+    x = _tokenized(a, id, cols, tokenizer, 0).select("id", "tokens")
+    y = _tokenized(b, id, cols, tokenizer, 0).select("id", "tokens") if b is not None else x
     if weighted:
-        df = {r.token: r.df for r in token_weights(x).collect()}
-        n = y.count()
-        pairs = [v for t, k in df.items() for v in (F.lit(t), F.log10(F.lit(n / k)))]
-        weights = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-    left, right = x.select(F.col("id").alias("id_a"), F.col("tokens").alias("ta")), y.select(F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
+        n = F.broadcast(y.agg(F.count("*").cast("double").alias("rows")))
+        known = token_weights(x).join(n).select("token", F.log10(F.col("rows") / F.col("df")).alias("w"))
+
+        def with_map(rows: DataFrame) -> DataFrame:
+            each = rows.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(known, "token")
+            maps = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("weights"))
+            return rows.join(maps, "id", "left").withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
+
+        x, y = with_map(x), with_map(y)
+    else:
+        x, y = x.withColumn("weights", F.lit(None)), y.withColumn("weights", F.lit(None))
+    left = x.select(F.col("id").alias("id_a"), F.col("tokens").alias("ta"), F.col("weights").alias("wa"))
+    right = y.select(F.col("id").alias("id_b"), F.col("tokens").alias("tb"), F.col("weights").alias("wb"))
     met = left.crossJoin(right).filter("id_a < id_b" if b is None else "id_a <> id_b")
-    sims = met.withColumn("sim", similarity(m.name, F.col("ta"), F.col("tb"), weights))
-    return sims.filter(m.matches(F.col("sim"), threshold)).select("id_a", "id_b", "sim")
+    wa, wb = (F.col("wa"), F.col("wb")) if weighted else (None, None)
+    value = m.value(intersection_weight(F.col("ta"), F.col("tb"), wa), bag_weight(F.col("ta"), wa), bag_weight(F.col("tb"), wb))
+    return met.withColumn("sim", value).filter(m.matches(F.col("sim"), threshold)).select("id_a", "id_b", "sim")
+
+
+#: Entries that make up one key of short rows, and most entries of the prefix that such keys are made of.
+SHARED, SHORT_PREFIX = 3, 8
+#: Bits of an entry's number below the length of its document frequency.
+_BITS = 57
+
+
+def _vocabulary(counted: DataFrame, cell_rows: int = 20_000) -> DataFrame:
+    """(token, nth, rows, code) of the entries of ``counted`` (id, kept, token, n): how many kept rows have the token ``nth``
+    times at least, and a number of the entry's own.
+
+    A code is the length of the token's document frequency in bits, then the frequency, then a serial number within that
+    length; so the frequency, and the weight, can be read from it. Serials are given cell by cell.
+    """
+    frequency = counted.groupBy("token").agg(F.count("*").alias("df"))
+    each = counted.filter("kept").select("token", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    raw = materialize(each.groupBy("token", "nth").agg(F.count("*").alias("rows")).join(frequency, "token").withColumn("size", F.length(F.bin("df")).cast("long")), "entries")
+    cells = max(16, raw.count() // cell_rows)
+    celled = raw.withColumn("cell", F.pmod(F.xxhash64("token", "nth"), F.lit(cells)))
+    counts = materialize(celled.groupBy("size", "cell").agg(F.count("*").alias("m")), "cells")
+    before = Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("size", "cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("size", "cell").orderBy("token", "nth")) - 1
+    placed = celled.withColumn("rank", rank).join(starts, ["size", "cell"]).withColumn("serial", F.col("start") + F.col("rank"))
+    shift = lambda x, n: F.call_function("shiftleft", x, n.cast("int"))
+    room = F.lit(_BITS) - F.col("size")
+    code = shift(shift(F.col("size"), F.col("size")) + F.col("df"), room) + F.col("serial")
+    full = F.raise_error(F.lit("more entries of one frequency than numbers")).cast("long")
+    return materialize(placed.select("token", "nth", "rows", F.when(F.col("serial") < shift(F.lit(1).cast("long"), room), code).otherwise(full).alias("code")), "vocabulary")
+
+
+def _code_weight(code: Column, rows: float) -> Column:
+    """The weight of an entry's token: log10 of all rows over those with it."""
+    size = F.shiftright(code, _BITS)
+    df = F.call_function("shiftright", code, (F.lit(_BITS) - size).cast("int")) - F.call_function("shiftleft", size, size.cast("int"))
+    return F.log10(F.lit(rows) / df)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(id, kept, token, n): each row's tokens and how often it has them."""
+    return rows.select("id", "kept", F.explode("tokens").alias("token")).groupBy("id", "kept", "token").agg(F.count("*").alias("n"))
 
 
 def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, similarity_name: str = "jaccard", threshold: float = 0.5, weighted: bool = False, min_size: int = 0) -> DataFrame:
-    """Pairs that share a token of both prefixes and match.
+    """Pairs that share an entry of both prefixes and match.
 
-    A row's tokens stand in the order of ascending document frequency; its prefix is what is left when as many as
-    possible of the most frequent are cut without the rest's weight reaching what a match needs. Rows of equal token lists match
-    outright. A pair without a common token is never found, whatever the threshold. Nothing is collected or broadcast:
-    candidates come from an equi-join on (token, occurrence), narrowed by the weights' bounds, and are verified
-    on whole bags.
+    An entry is a token with how often it occurred before; its rarity is the number of rows that have it, so a late
+    occurrence of a common word is rare. A row's entries, as numbers, stand rarest first; its prefix is what is left when as
+    many as possible of the most common are cut without the rest's weight reaching what a match needs. Rows of equal token
+    lists match outright. A pair without a common token is never found, whatever the threshold.
+
+    Nothing is collected: candidates come from an equi-join of prefixes. The entries that a pair shares there, and the
+    weight of what follows the last of them, bound the pair's overlap; only pairs whose bound is enough meet with their whole
+    bags, arrays of numbers.
     """
     cols, tokenizer, m = cols or [c for c in a.columns if c != id], tokenizer or word(), metric(similarity_name)
     x = _tokenized(a, id, cols, tokenizer, min_size)
-    weights = materialize(token_weights(x), "weights")
-
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Prefix entries and verified bags of a table."""
-        kept = rows.filter("kept")
-        counted = kept.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-        known = counted.join(weights, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        w = F.coalesce("weight", F.lit(0.0)) if weighted else F.lit(1.0)
-        known = known.withColumn("w", w)
-        each = known.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    counted = materialize(_counted(x), "counted")
+    n_rows = float(a.count()) if weighted else 1.0
+    vocabulary = _vocabulary(counted)
+    weight = (lambda code: _code_weight(code, n_rows)) if weighted else (lambda code: F.lit(1.0))
+
+    def bags(rows: DataFrame, counted: DataFrame, foreign: bool) -> DataFrame:
+        """(id, bag, total, known, same): entries rarest first, weight of all tokens and of those in the vocabulary."""
+        each = counted.filter("kept").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        met = each.join(vocabulary, ["token", "nth"], "left" if foreign else "inner")
+        own = F.coalesce(weight(F.col("code")), F.lit(0.0)) if weighted else F.lit(1.0)
+        if foreign and weighted:  # an occurrence too many for the vocabulary still weighs what its token does
+            far = vocabulary.filter("nth = 1").select("token", weight(F.col("code")).alias("w"))
+            met, own = met.join(far, "token", "left"), F.coalesce("w", F.lit(0.0))
+        known = F.when(F.col("code").isNotNull(), own).otherwise(0.0)
+        listed = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("rows", "code"))))
+        grouped = met.groupBy("id").agg(listed["code"].alias("bag"), F.sum(own).alias("total"), F.sum(known).alias("known"))
+        same = rows.filter("kept").select("id", F.md5(F.array_join("tokens", "\x1f")).alias("same"))
+        return materialize(grouped.join(same, "id"), "bags")
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        """(id, code, total, known, after, beyond): weight up to and with the entry, and of what the prefix leaves out."""
+        least = m.least(threshold, F.col("total")) - F.lit(1e-9)
+        if not weighted:
+            size = F.least(F.greatest(F.floor(F.col("known") - least) + 1, F.lit(0)), F.col("known")).cast("int")
+        else:
+            begin = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("cut"))
+            tail = F.aggregate(F.reverse("bag"), begin, lambda s, c: F.struct((s["s"] + weight(c)).alias("s"), (s["cut"] + F.when(s["s"] + weight(c) < least, 1).otherwise(0)).alias("cut")))
+            size = F.size("bag") - tail["cut"]
+        cut = rows.withColumn("size", size).select("id", "total", "known", "size", F.posexplode(F.slice("bag", F.lit(1), F.col("size"))).alias("at", "code"))
+        if not weighted:
+            return cut.select("id", "code", "total", "known", (F.col("at") + 1).cast("double").alias("after"), (F.col("known") - F.col("size")).alias("beyond"))
         whole = Window.partitionBy("id")
-        tail = whole.orderBy(F.desc("df"), F.desc("token"), F.desc("nth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = each.withColumn("total", F.sum("w").over(whole)).withColumn("tail", F.sum("w").over(tail))
-        entries = ranked.withColumn("ahead", F.col("total") - F.col("tail")).filter(F.col("tail") >= m.least(threshold, F.col("total")) - F.lit(1e-9))
-        # equal entries are equal strings on both sides, so a hash intersection finds them; the weight is global to the token
-        entry = F.concat_ws("\x1f", F.col("w").cast("string"), F.col("nth").cast("string"), F.col("token"))
-        bags = each.groupBy("id").agg(F.collect_list(entry).alias("bag"), F.sum("w").alias("total"))
-        same = kept.select("id", F.xxhash64("tokens").alias("same"), F.md5(F.array_join("tokens", "\x1f")).alias("same5"))
-        return entries.select("id", "token", "nth", "total", "ahead", "w"), bags.join(same, "id")
-
-    pa, bags_a = sides(x)
-    pa, bags_a = materialize(pa, "prefixes"), materialize(bags_a, "bags")
+        running = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = weight(F.col("code"))
+        return cut.select("id", "code", "total", "known", F.sum(own).over(running).alias("after"), (F.col("known") - F.sum(own).over(whole)).alias("beyond"))
+
+    # Two sets with ``SHARED`` entries or more in common share as many in prefixes longer by SHARED - 1. Rows that must, and are
+    # short enough for it, meet others by such combinations; pairs of other rows by single entries.
+    share = {"jaccard": threshold - 1e-6, "dice": threshold / (2.0 - threshold), "cosine": threshold**2}.get(m.name, 0.0) if not weighted else 0.0
+    limit = min(64, int(share * (SHORT_PREFIX - SHARED) / (1 - share))) if 0 < share < 1 else 0
+    must = F.ceil(m.least(threshold, F.col("total")) - F.lit(1e-9))
+    short = (F.col("total") <= limit) & (must >= SHARED)
+
+    def combinations(rows: DataFrame) -> DataFrame:
+        """(id, key, total, known, short) of the rows that are short or may match one that is."""
+        size = (F.col("known") - F.greatest(must, F.lit(SHARED)) + SHARED).cast("int")
+        near = rows.filter((F.col("total") * F.lit(share) <= limit + 1e-6) & (F.col("known") >= SHARED)).withColumn("size", F.least(size, F.size("bag"))).filter(F.col("size") >= SHARED)
+        upto = lambda first, last: F.sequence(first, F.col("size") - F.lit(last))
+        entry = lambda i: F.get("bag", i)
+        triples = F.flatten(F.transform(upto(F.lit(0), 3), lambda i: F.flatten(F.transform(upto(i + 1, 2), lambda j: F.transform(upto(j + 1, 1), lambda k: F.struct(entry(i).alias("x"), entry(j).alias("y"), entry(k).alias("z")))))))
+        return near.select("id", "total", "known", short.alias("short"), F.explode(triples).alias("key")).select("id", "total", "known", "short", "key.*")
+
+    bags_a = bags(x, counted, False)
+    pa = prefixes(bags_a.filter(~short))
     if b is None:
         pb, bags_b, order = pa, bags_a, F.col("id_a") < F.col("id_b")
     else:
-        pb, bags_b = sides(_tokenized(b, id, cols, tokenizer, min_size))
-        pb, bags_b, order = materialize(pb, "prefixes"), materialize(bags_b, "bags"), F.col("id_a") != F.col("id_b")
-    named = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), "token", "nth", F.col("total").alias(f"total_{s}"), F.col("ahead").alias(f"ahead_{s}"))
-    met = named(pa, "a").join(named(pb, "b"), ["token", "nth"]).filter(order)
-    # what stands from a shared entry on bounds the overlap if it is the first that the pair shares; for later ones it is less
-    least = F.greatest(m.least(threshold, F.col("total_a")), m.least(threshold, F.col("total_b"))) - F.lit(1e-6)
-    rest = F.least(F.col("total_a") - F.col("ahead_a"), F.col("total_b") - F.col("ahead_b"))
-    candidates = met.filter(rest >= least).select("id_a", "id_b").distinct()
-    side = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("bag").alias(f"bag_{s}"), F.col("total").alias(f"w_{s}"), F.col("same").alias(f"same_{s}"), F.col("same5").alias(f"same5_{s}"))
-    both = materialize(candidates, "candidates").join(side(bags_a, "a"), "id_a").join(side(bags_b, "b"), "id_b")
+        y = _tokenized(b, id, cols, tokenizer, min_size)
+        bags_b, order = bags(y, _counted(y), True), F.col("id_a") != F.col("id_b")
+        pb = prefixes(bags_b.filter(~short))
+    kept = ("total", "known", "after", "beyond")
+    named = lambda d, s: d.select("code", *[F.col(c).alias(f"{c}_{s}") for c in ("id", *kept)])
+    needed = m.needed(threshold, F.col("total_a"), F.col("total_b")) - F.lit(1e-6)
+    met = named(pa, "a").join(named(pb, "b"), "code").filter(order).filter(F.least("known_a", "known_b") >= needed)
+    widest = [F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in kept for s in "ab"]
+    # what both have beyond the entries they share here comes after the last of them in both, and after the end of a prefix
+    rest = F.least(F.col("known_a") - F.col("after_a"), F.col("known_b") - F.col("after_b"), F.greatest("beyond_a", "beyond_b"))
+    pairs = met.groupBy("id_a", "id_b").agg(F.sum(weight(F.col("code"))).alias("met"), *widest).filter(F.col("met") + rest >= needed).select("id_a", "id_b")
+    if limit:
+        of = lambda d, s: combinations(d).select("x", "y", "z", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "total", "known", "short")])
+        few = of(bags_a, "a").join(of(bags_b, "b"), ["x", "y", "z"]).filter(order).filter((F.col("short_a") | F.col("short_b")) & (F.least("known_a", "known_b") >= needed))
+        pairs = pairs.unionByName(few.select("id_a", "id_b").distinct())
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "bag", "total", "same")])
+    both = materialize(pairs, "candidates").join(side(bags_a, "a"), "id_a").join(side(bags_b, "b"), "id_b")
     common = F.array_intersect("bag_a", "bag_b")
-    shared = F.aggregate(common, F.lit(0.0), lambda s, x: s + F.substring_index(x, "\x1f", 1).cast("double")) if weighted else F.size(common).cast("double")
-    sims = both.withColumn("met", shared).withColumn("sim", m.value(F.col("met"), F.col("w_a"), F.col("w_b")))
-    equal = (F.col("same_a") == F.col("same_b")) & (F.col("same5_a") == F.col("same5_b"))
-    return sims.filter(m.matches(F.col("sim"), threshold) | equal).select("id_a", "id_b", "sim")
+    shared = F.aggregate(common, F.lit(0.0), lambda s, c: s + weight(c)) if weighted else F.size(common).cast("double")
+    sims = both.withColumn("sim", m.value(shared, F.col("total_a"), F.col("total_b")))
+    return sims.filter(m.matches(F.col("sim"), threshold) | (F.col("same_a") == F.col("same_b"))).select("id_a", "id_b", "sim")
 
 
 def segments(text: Column, length: Column, limit: int) -> Column:
@@ -125,29 +210,41 @@ def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[
     y = materialize(whole(b), "texts") if b is not None else x
 
     def index(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "text", "length", F.explode(segments(F.col("text"), F.col("length"), t)).alias("s")).select(F.col("id").alias("id_i"), F.col("text").alias("text_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
+        return rows.select("id", "length", F.explode(segments(F.col("text"), F.col("length"), t)).alias("s")).select(F.col("id").alias("id_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
 
     def probe(rows: DataFrame, below: int, above: int) -> DataFrame:
         """Substrings that could be a segment of an indexed text at most ``below`` shorter or ``above`` longer."""
-        each = rows.select("id", "text", "length", F.explode(F.filter(F.sequence(F.col("length") - below, F.col("length") + above), lambda n: n >= 0)).alias("other")).withColumn("nr", F.explode(F.sequence(F.lit(0), F.lit(t))))
         n = t + 1
-        short, longer = F.floor(F.col("other") / n).cast("int"), (F.col("other") % n).cast("int")
-        start = short * F.col("nr") + F.greatest(F.lit(0), F.col("nr") - (F.lit(n) - longer))
-        size = short + F.when(F.col("nr") >= F.lit(n) - longer, 1).otherwise(0)
-        gap = F.col("length") - F.col("other")
-        lo = F.greatest(F.lit(0), start - F.col("nr"), start + gap - (F.lit(t) - F.col("nr")))
-        hi = F.least(F.col("length") - size, start + F.col("nr"), start + gap + (F.lit(t) - F.col("nr")))
-        placed = each.withColumns({"size": size, "lo": lo, "hi": hi}).filter("lo <= hi").withColumn("at", F.explode(F.sequence("lo", "hi")))
-        return placed.select(F.col("id").alias("id_p"), F.col("text").alias("text_p"), F.col("length").alias("length_p"), F.col("other").alias("length_i"), "nr", F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("segment")).distinct()
-
-    near = F.levenshtein("text_i", "text_p", t)
+
+        def windows(other: Column) -> Column:
+            """(length_i, nr, segment) of the windows for indexed texts of a length: made in the row, without copies of the text."""
+            short, longer = F.floor(other / n).cast("int"), (other % n).cast("int")
+
+            def of(nr: Column) -> Column:
+                start = short * nr + F.greatest(F.lit(0), nr - (F.lit(n) - longer))
+                size = short + F.when(nr >= F.lit(n) - longer, 1).otherwise(0)
+                gap = F.col("length") - other
+                lo = F.greatest(F.lit(0), start - nr, start + gap - (F.lit(t) - nr))
+                hi = F.least(F.col("length") - size, start + nr, start + gap + (F.lit(t) - nr))
+                at = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+                return F.transform(at, lambda i: F.struct(other.alias("length_i"), nr.alias("nr"), F.substring(F.col("text"), i + 1, size).alias("segment")))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(t)), of))
+
+        lengths = F.filter(F.sequence(F.col("length") - below, F.col("length") + above), lambda i: i >= 0)
+        each = rows.select("id", "length", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("s"))
+        return each.select(F.col("id").alias("id_p"), F.col("length").alias("length_p"), "s.length_i", "s.nr", "s.segment")
+
     if b is None:
         met = index(x).join(probe(x, t, 0), ["nr", "segment", "length_i"]).filter("id_i <> id_p AND (length_i < length_p OR id_i < id_p)")
-        pairs = met.select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"), "text_i", "text_p")
+        pairs = met.select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"))
     else:
         met = index(x).join(probe(y, t, t), ["nr", "segment", "length_i"]).filter("id_i <> id_p")
-        pairs = met.select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"), "text_i", "text_p")
-    return pairs.distinct().withColumn("sim", near).filter("sim >= 0").select("id_a", "id_b", F.col("sim").cast("double").alias("sim"))
+        pairs = met.select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"))
+    texts = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
+    both = pairs.distinct().join(texts(x, "a"), "id_a").join(texts(y, "b"), "id_b")
+    near = both.withColumn("sim", F.levenshtein("text_a", "text_b", t)).filter("sim >= 0")
+    return near.select("id_a", "id_b", F.col("sim").cast("double").alias("sim"))
 
 
 def join(a: DataFrame, b: DataFrame | None = None, similarity_name: str = "jaccard", **options) -> DataFrame:

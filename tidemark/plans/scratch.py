@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """Fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -44,6 +46,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 _COLLECTING: list[list[str]] = []
+#: Folders written and not yet deleted, by application.
+_MADE: dict[str, set[str]] = {}
 
 
 @contextlib.contextmanager
@@ -64,6 +68,15 @@ def discard(df_or_path, spark: SparkSession | None = None) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete every scratch folder that this application has written and not deleted yet; how many there were."""
+    left = sorted(_MADE.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        discard(path, spark)
+    return len(left)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
