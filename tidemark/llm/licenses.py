@@ -10,18 +10,21 @@ ends at a word exactly when its state is on the suffix path of the state reached
 
 from __future__ import annotations
 
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.ship import ship
 from .common import column, slices, utf8_bytes
 from .license_texts import TEXTS
 
+#: Most bytes of templates read from a table or folder.
+MOST_BYTES = 64 << 20
+
 # Base phrases and their labels.
 BASE_PHRASES = {
     "cc by": "cc-by",
@@ -120,6 +123,9 @@ class TemplateAutomaton:
         for s in reversed(order):
             self.phrases_at[s] = phrase_state.get(s, []) + (self.phrases_at[self.link[s]] if self.link[s] > 0 else [])
         self.labels = list(phrases.values())
+        #: Words of the shortest and longest template and of the shortest phrase.
+        self.shortest, self.longest = (f((n for _, n in self.sequences if n), default=1) for f in (min, max))
+        self.briefest = min((len(p) for p in paths if p), default=1)
 
     def _add(self, ids: list[int]) -> list[int]:
         """Extends the automaton by one sequence; the state of each of its prefixes."""
@@ -171,29 +177,29 @@ class TemplateAutomaton:
 
 
 def scan_words(words: list[bytes], automaton: TemplateAutomaton, min_match: int = 3, max_gap: int = 8, min_cover: float = 0.6) -> dict:
-    """Base hits, spans and labels of one file's words."""
+    """Base hits, spans and labels of one file's words. A template shorter than ``min_match`` words matches as a whole."""
     get = automaton.vocabulary.get
     ids = np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words))
     known = np.flatnonzero(ids)
     base: list[tuple[int, int]] = []
     matches: list[tuple[int, int, int]] = []  # end position, run length, state
-    if len(known) > 1:
-        cuts = np.flatnonzero(np.diff(known) > 1) + 1
-        for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(known)].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            first, previous = int(known[lo]), None
-            for step in automaton.run(ids[first : first + hi - lo], first):
-                i, state, n = step
-                for k, size in automaton.phrases_at[state]:
-                    if n >= size:
-                        base.append((i - size + 1, k))
-                if previous and n <= previous[2] and previous[2] >= min_match:
-                    matches.append((previous[0], previous[2], previous[1]))
-                previous = step
-            if previous[2] >= min_match:
+    least = min(min_match, automaton.shortest)
+    cuts = np.flatnonzero(np.diff(known) > 1) + 1
+    for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(known)].tolist(), strict=True):
+        if hi - lo < min(least, automaton.briefest):
+            continue
+        first, previous = int(known[lo]), None
+        for step in automaton.run(ids[first : first + hi - lo], first):
+            i, state, n = step
+            for k, size in automaton.phrases_at[state]:
+                if n >= size:
+                    base.append((i - size + 1, k))
+            if previous and n <= previous[2] and previous[2] >= least:
                 matches.append((previous[0], previous[2], previous[1]))
-    spans = chain(matches, automaton, max_gap)
+            previous = step
+        if previous[2] >= least:
+            matches.append((previous[0], previous[2], previous[1]))
+    spans = chain(matches, automaton, min_match, max_gap)
     found = [s for s in spans if s["covered"] >= min_cover * automaton.sequences[s["sequence"]][1]]
     return {"base": base, "spans": strongest(found)}
 
@@ -207,40 +213,92 @@ def strongest(spans: list[dict]) -> list[dict]:
     return [s for s in spans if not ((start <= s["start"]) & (end >= s["end"]) & (covered > s["covered"]) & (label != s["label"])).any()]
 
 
+_AUTOMATA: dict[str, TemplateAutomaton] = {}
+
+
 def built(templates: dict[str, list[str]], phrases: dict[str, str]) -> TemplateAutomaton:
     """The worker's automaton, kept between tasks."""
-    kept, key = sys.__dict__.setdefault("_tidemark_automata", {}), repr((templates, phrases))
-    if key not in kept:
-        kept.clear()
-        kept[key] = TemplateAutomaton(templates, phrases)
-    return kept[key]
+    key = repr((templates, phrases))
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = TemplateAutomaton(templates, phrases)
+    return _AUTOMATA[key]
 
 
-def chain(matches: list[tuple[int, int, int]], automaton: TemplateAutomaton, max_gap: int) -> list[dict]:
-    """Joins matches that advance in the file and in the same template, each by ``max_gap`` words at most."""
-    open_: dict[int, dict] = {}
-    done: list[dict] = []
+def chain(matches: list[tuple[int, int, int]], automaton: TemplateAutomaton, min_match: int, max_gap: int) -> list[dict]:
+    """Spans of templates: per template, the chains of matches that cover most, by dynamic programming.
+
+    Each place of a match in a template is an anchor (file words, template words). An anchor may follow another one that ends
+    before it in both, after an overlap is cut from its front, if the gap is ``max_gap`` words or fewer in both. The best
+    chain up to an anchor covers its own words and the best chain before it. Chains are taken from the best end down,
+    as long as they share no file word with one taken; so a template that starts again is a span of its own.
+    """
+    anchors: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # sequence: (file end, template end, words)
     for end, n, state in matches:
         for sequence, at in automaton.ends[state]:
-            if at + 1 < n:
-                continue
-            span, start, t_start = open_.get(sequence), end - n + 1, at - n + 1
-            overlap = max(0, span["end"] - start + 1, span["t_end"] - t_start + 1) if span else 0
-            if span and overlap < n and start + overlap - span["end"] - 1 <= max_gap and 0 <= t_start + overlap - span["t_end"] - 1 <= max_gap:
-                span |= {"end": end, "t_end": at, "covered": span["covered"] + n - overlap}
-            elif not span or n > span["covered"] or start - span["end"] > max_gap:
-                if span:
-                    done.append(span)
-                open_[sequence] = {"sequence": sequence, "label": automaton.sequences[sequence][0], "start": start, "end": end, "t_end": at, "covered": n}
-    return done + list(open_.values())
-
-
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, min_cover: float = 0.6) -> DataFrame:
+            size = automaton.sequences[sequence][1]
+            run = min(n, at + 1)
+            if run >= min(min_match, size):
+                anchors[sequence].append((end, at, run))
+    out = []
+    for sequence, found in anchors.items():
+        found.sort()
+        best, before, begin = [], [], []
+        first = 0
+        for i, (end, at, run) in enumerate(found):
+            cover, link = run, -1
+            while found[first][0] < end - run - max_gap:  # no later anchor is nearer: ends only grow
+                if found[first][0] >= end - automaton.longest - max_gap:
+                    break
+                first += 1
+            for j in range(i - 1, first - 1, -1):
+                e, a, _ = found[j]
+                cut = max(0, e - (end - run), a - (at - run))
+                if cut >= run or e >= end or a >= at:
+                    continue
+                if end - run + cut - e <= max_gap and at - run + cut - a <= max_gap and best[j] + run - cut > cover:
+                    cover, link = best[j] + run - cut, j
+            best.append(cover)
+            before.append(link)
+            begin.append(begin[link] if link >= 0 else end - run + 1)
+        taken: list[tuple[int, int]] = []
+        for i in sorted(range(len(found)), key=lambda i: (-best[i], found[i][0])):
+            start, end = begin[i], found[i][0]
+            if all(end < s or start > e for s, e in taken):
+                taken.append((start, end))
+                out.append({"sequence": sequence, "label": automaton.sequences[sequence][0], "start": start, "end": end, "covered": best[i]})
+    return sorted(out, key=lambda s: (s["start"], s["end"], s["sequence"]))
+
+
+def read_templates(spark: SparkSession, source: str) -> dict[str, list[str]]:
+    """Templates of a catalog table or a folder of Parquet (label, text), or of a folder of text files named by their labels.
+
+    They go to every executor, so their size is checked: ``MOST_BYTES`` at most.
+    """
+    if "/" not in source:
+        rows = spark.table(source).select("label", "text")
+    elif source.rstrip("/").endswith(".parquet"):
+        rows = spark.read.parquet(source).select("label", "text")
+    else:
+        files = spark.read.text(source, wholetext=True).withColumn("label", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1))
+        rows = files.select("label", F.col("value").alias("text"))
+    rows = rows.filter("label IS NOT NULL AND text IS NOT NULL")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of templates are more than {MOST_BYTES}")
+    out: dict[str, list[str]] = {}
+    for r in rows.orderBy("label", "text").collect():
+        out[r.label] = list(dict.fromkeys([*out.get(r.label, []), " ".join(r.text.split()), *passages(r.text)]))
+    return out
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, min_match: int = 3, max_gap: int = 8, min_cover: float = 0.6) -> DataFrame:
     """Spans and labels of every file: one pass over whole texts, without a shuffle.
 
     Null and empty texts have no words, no labels and the score 0. A row of the result stands for each row of
     the input, repeated ones too; other columns are left out. ``score`` is the largest covered share of a
-    template, 1 where a base phrase stands. ``spans`` lists the label, first and last word and cover of each span.
+    template, 1 where a base phrase stands. ``spans`` lists the label, first and last word and cover of each span. A null key
+    stays null.
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
@@ -252,7 +310,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: di
                 rows: dict[str, list] = defaultdict(list)
                 for raw in utf8_bytes(column(part, text)):
                     words = words_of(raw)
-                    got = scan_words(words, automaton, min_cover=min_cover)
+                    got = scan_words(words, automaton, min_match, max_gap, min_cover)
                     base, spans = got["base"], got["spans"]
                     labels = sorted({automaton.labels[k] for _, k in base})
                     rows["n_words"].append(len(words))
