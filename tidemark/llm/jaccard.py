@@ -6,7 +6,8 @@ selective (largest) first; by the prefix principle two sets that link have an eq
 and only that subset is indexed. A band of sizes may instead use m = H // 2 + 1 segments and index, besides each
 segment, its one-deletion neighbourhood: then one segment pair differs in one element at most, and the
 two meet there. Each band takes the allocation of the least cost: keys to move, and candidates expected at the
-corpus's size. Every candidate is verified on whole sets; nothing is missed and nothing false links.
+corpus's size. Every candidate is verified on whole sets. Nothing is missed and nothing false links, but for collisions
+of 64-bit hashes: elements are such hashes, and a set is known by two of them and its size.
 
 Equal sets count as one. Candidates come in two rounds: each index bucket first meets its smallest member
 only; after the links found so far are closed transitively, members of a bucket in different components meet each other
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +47,8 @@ class WordHashes(dict):
         return got
 
 
-def word_hashes() -> WordHashes:
-    return sys.__dict__.setdefault("_tidemark_word_hashes", WordHashes())
+#: The worker's, kept between tasks.
+_WORD_HASHES = WordHashes()
 
 
 def shingles(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def shingles(texts: list[bytes | None], n: int) -> tuple[np.ndarray, np.ndarray]
     """
     words = [(t or b"").lower().split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter(map(word_hashes().__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
+    flat = np.fromiter(map(_WORD_HASHES.__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
     h = mix64(flat, n)
     for j in range(1, n):
@@ -94,12 +94,13 @@ def differ(size: int | np.ndarray, percent: int):
     return size * (100 - percent) // percent
 
 
-def allocate(rows: int, percent: int, shared: float = 0.02, largest: int = 1 << 27) -> list[Band]:
+def allocate(rows: int, percent: int, shared: float = 0.02, largest: int = 1 << 30) -> list[Band]:
     """The cheapest allocation of each band.
 
     The cost of a document is its keys plus the candidates that unrelated documents are expected to give it:
     ``rows * shared ** k`` for an indexed segment of k elements, ``shared`` being the chance that an element of one also is in
-    the other.
+    the other. Bands go up to ``largest``, which no set can reach: a text in a column has less than 2**31 bytes, and two words
+    take four of them with the blanks between.
     """
     if percent >= 100:
         return []
@@ -214,32 +215,13 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """(key, id, least) of the keys that two ids or more have. ``entries`` (id, key) has each id's keys once."""
+    """(key, id, least) of the keys that two ids or more have. ``entries`` is (id, key).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for b in batches:
-            keys.append(column(b, "key").to_numpy(zero_copy_only=False))
-            ids.append(column(b, "id").to_numpy(zero_copy_only=False))
-        if not keys:
-            return
-        key, id_ = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((id_, key))
-        key, id_ = key[order], id_[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        fresh = new.copy()
-        fresh[1:] |= id_[1:] != id_[:-1]
-        key, id_, new = key[fresh], id_[fresh], new[fresh]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.r_[starts, len(key)])
-        many = np.repeat(sizes > 1, sizes)
-        least = np.repeat(id_[starts], sizes)
-        for lo in range(0, int(many.sum()), 100_000):
-            at = np.flatnonzero(many)[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(id_[at]), pa.array(least[at])], ["key", "id", "least"])
-
-    return entries.repartition(shuffle_partitions(entries.sparkSession), "key").mapInArrow(run, "key long, id long, least long")
+    The least id of a key is pre-aggregated before it is shuffled, and joined back: a key that very many ids have is
+    split by Spark like any skewed one, and no task holds a key's ids.
+    """
+    ends = entries.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "least")
+    return entries.join(materialize(ends, "keys"), "key").select("key", "id", "least")
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
