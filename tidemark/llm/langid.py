@@ -11,7 +11,6 @@ a letter count. Whole texts are used.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,29 +118,34 @@ class Bundler:
         return (out / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
 
 
+_BUNDLERS: dict[tuple[int, int], Bundler] = {}
+
+
 def bundler(dim: int, order: int) -> Bundler:
     """The worker's bundler, kept between tasks."""
-    kept = sys.__dict__.setdefault("_tidemark_bundlers", {})
-    return kept.setdefault((dim, order), Bundler(dim, order))
+    if (dim, order) not in _BUNDLERS:
+        _BUNDLERS[dim, order] = Bundler(dim, order)
+    return _BUNDLERS[dim, order]
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 2000, max_langs: int = 8192, dim: int = DIM, order: int = ORDER) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = 2000, dim: int = DIM, order: int = ORDER) -> dict[str, np.ndarray]:
     """Prototypes of the languages named in the rows where ``learn`` holds.
 
     Fits on a bounded sample: ``per_lang`` distinct texts with a letter of each language (all, if there are fewer), those
-    of the smallest hashes, of the ``max_langs`` languages with the most such texts; ISO 639-3 has fewer. Copies of a
-    text count once. The driver gets a vector for each language and task, from 16 tasks.
+    of the smallest hashes. Copies of a text count once. Every language that is named is learned; rows with a null doc_id are
+    rows like any other, and ``learn`` decides on them. Vectors are added up by Spark; the driver gets one of each language.
     """
     ship(docs.sparkSession)
     labelled = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     distinct = rows.select("lang", "hash").distinct()
-    sizes = F.broadcast(distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs))
-    # So many of the smallest hashes that fewer than per_lang of them has a chance below 1e-20.
+    sizes = distinct.groupBy("lang").count()
+    # Only hashes below a share that holds more than per_lang of them are sorted, so that a language's list is short: the share is
+    # ten standard deviations and a hundred too large, and a list of fewer has a chance below 1e-20.
     share = F.lit(per_lang + 10 * per_lang**0.5 + 100) / F.col("count")
     near = distinct.join(sizes, "lang").filter(F.col("hash").cast("double") / F.lit(2.0**64) + 0.5 < share)
     hashes = near.groupBy("lang").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
-    cuts = F.broadcast(hashes.select("lang", F.element_at("hashes", F.least(F.size("hashes"), F.lit(per_lang))).alias("cut")))
+    cuts = hashes.select("lang", F.element_at("hashes", F.least(F.size("hashes"), F.lit(per_lang))).alias("cut"))
     picked = rows.join(cuts, "lang").filter("hash <= cut").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +159,21 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sum"])
 
-    out: dict[str, np.ndarray] = {}
-    for r in picked.repartition(16).mapInArrow(run, "lang string, sum binary").collect():
-        out[r.lang] = out.get(r.lang, 0) + np.frombuffer(r.sum)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a language's partial sums, which follow each other."""
+        at, held = None, None
+        for batch in batches:
+            for lang_, data in zip(column(batch, "lang").to_pylist(), column(batch, "sum").to_pylist(), strict=True):
+                if at is not None and lang_ != at:
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held.tobytes()], pa.binary())], ["lang", "sum"])
+                held = np.frombuffer(data) + (held if lang_ == at else 0.0)
+                at = lang_
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held.tobytes()], pa.binary())], ["lang", "sum"])
+
+    partial = picked.repartition(16).mapInArrow(run, "lang string, sum binary")
+    total = partial.repartition(4, "lang").sortWithinPartitions("lang", "sum").mapInArrow(add, "lang string, sum binary")
+    out = {r.lang: np.frombuffer(r.sum) for r in total.collect()}
     return {k: out[k] for k in sorted(out) if np.any(out[k])}
 
 
