@@ -97,7 +97,7 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, window_tokens: int = 4_000_000, linear: float = 1.0, quadratic: float = 0.01, key: str = "doc_id") -> DataFrame:
     """One row per piece: key, start, length, ids_le (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed once each. Other columns are left out, and an
+    A null or empty text is the end id alone; a null key stays null. Repeated rows are packed once each. Other columns are left out, and an
     empty table gives no pieces. The last sequence of a window may be short.
     """
     ship(docs.sparkSession)
