@@ -57,6 +57,17 @@ def test_encoder_equals_the_library_on_every_plain_character():
         assert e.ids("plain text").tolist() == ids_of(path, "plain text")
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_encoder_equals_the_library_on_every_document(sf):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    for path in (BYTES, WORDS):
+        e = tokens.Encoder(path)
+        want = e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert all(e.ids(t).tolist() == w.ids for t, w in zip(texts, want, strict=True))
+
+
 def check_pieces(rows, docs, capacity):
     """Every id of every row lies in one piece, and sequences are gapless."""
     want = collections.Counter((k, zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in docs)
@@ -160,18 +171,77 @@ def test_rabitq(spark):
     for i in range(240):
         v = base[i % 12] + r.standard_normal(16) * (0.01 + 0.3 * (i % 5 == 0))
         rows.append((i, [float(x) for x in v.astype(np.float32)], i % 12 % 3))
-    rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(30)] + [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [None] * 16, 0), (404, rows[0][1], None), (405, [1.0, 2.0], 0), (406, [], 0), (407, rows[0][1], 99)]
+    rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(30)] + [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [None] * 16, 0), (404, rows[0][1], None), (405, [1.0, 2.0], 0), (406, [], 0), (407, rows[0][1], 99), (None, rows[0][1], 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame([(*x, "extra") for x in rows], "vec_id long, embedding array<float>, label int, n_links string")
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in rabitq.near_duplicates(df, block=16).collect()}
-    fine = {k: (np.array(v, np.float64), c) for k, v, c in rows if v and c is not None and None not in v and np.isfinite(v).all() and any(v)}
+    fine = {k: (np.array(v, np.float64), c) for k, v, c in rows if k is not None and v and c is not None and None not in v and np.isfinite(v).all() and any(v)}
     links = [(a, b) for a in fine for b in fine if a < b and fine[a][1] == fine[b][1] and len(fine[a][0]) == len(fine[b][0]) and fine[a][0] @ fine[b][0] / np.linalg.norm(fine[a][0]) / np.linalg.norm(fine[b][0]) >= 0.98]
     n = collections.Counter(x for p in links for x in p)
     comp = brute_components([k for k, *_ in rows], links)
     assert len(links) > 500
-    assert got == {k: (n[k], comp[k], comp[k] == k) for k, *_ in rows}
+    assert got == {k: (n[k], comp[k], k is not None and comp[k] == k) for k, *_ in rows}
     assert rabitq.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted(rows, dim=64, labels=10, seed=2):
+    """Vectors without near copies, and copies at cosines from 0.98 to 0.999 in pairs and in one group of hundreds."""
+    r = np.random.default_rng(seed)
+    v = r.standard_normal((rows, dim))
+    label = r.integers(0, labels, rows)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(v)
+    for i in range(0, rows // 3, 2):
+        c = r.uniform(0.98, 0.999)
+        other = v[i + 1] - (v[i + 1] @ v[i]) * v[i]
+        v[i + 1], label[i + 1] = c * v[i] + math.sqrt(1 - c * c) * unit(other), label[i]
+    big = slice(rows // 2, rows // 2 + min(rows // 20, 700))
+    v[big] = unit(v[big.start] + 0.009 * r.standard_normal(v[big].shape))
+    label[big] = 0
+    return v.astype(np.float32), label
+
+
+def brute_links(v, label, threshold=0.98):
+    x = v.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = []
+    for c in np.unique(label):
+        at = np.flatnonzero(label == c)
+        i, j = np.nonzero(np.triu(x[at] @ x[at].T >= threshold, 1))
+        out += zip(at[i].tolist(), at[j].tolist(), strict=True)
+    return out
+
+
+def test_rabitq_finds_planted_copies(spark):
+    v, label = planted(6000)
+    links = brute_links(v, label)
+    df = spark.createDataFrame([(i, x, int(c)) for i, (x, c) in enumerate(zip(v.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in rabitq.near_duplicates(df, block=200).collect()}
+    n, comp = collections.Counter(x for p in links for x in p), brute_components(range(len(v)), links)
+    found = sum(k for k, _ in got.values()) // 2
+    print(f"links found {found} of {len(links)}")
+    assert len(links) > 20_000 and found >= 0.999 * len(links)
+    assert sum(got[k] == (n[k], comp[k]) for k in got) >= 0.999 * len(got)
+
+
+def test_rabitq_pairs_of_groups():
+    sizes = np.array([3, 1, 4, 2])
+    got = sorted((int(a), int(b)) for x, y in rabitq.within(sizes) for a, b in zip(x, y, strict=True))
+    assert got == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7), (8, 9)]
+    r = np.random.default_rng(0)
+    v, label = planted(400, 32, 1)
+    turn = rabitq.rotation(32, 256)
+    signs, factor = rabitq.codes(v / np.linalg.norm(v, axis=1, keepdims=True), turn)
+    words = np.packbits(signs, axis=1, bitorder="little").view("<u8")
+    none, one = np.zeros(400, np.int64), np.array([400])
+    want = set(brute_links(v, label))
+    for few in (8, 1000):  # by products of matrices, and by lists of pairs
+        x, y = rabitq.linked(v.astype(np.float64), signs, words, factor, none, none, one, turn, 8, 0.98, few)
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
+    side = r.integers(1, 3, 400)
+    x, y = rabitq.linked(v.astype(np.float64), signs, words, factor, none, side, one, turn, 8, 0.98)
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(a, b) for a, b in want if side[a] != side[b]}
+
+
 def test_rabitq_bounds_hold():
     r = np.random.default_rng(1)
     x = r.standard_normal((300, 32))
@@ -378,6 +448,18 @@ def test_warc(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_null_page_ids_and_manifest(spark, tmp_path):
+    rows = [(None, "u", "same"), (-1, "u", "other"), (4, "u", "same"), (7, "u", "same"), (None, "u", "lone"), (None, "v", "lone")]
+    folder = f"file://{tmp_path}/a"
+    m = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = sorted((str(x.page_id), x.payload_bytes, x.record_type, x.refers_to or 0) for x in warc.read_warc(spark, folder, m).collect())
+    assert got == sorted([("None", 4, "revisit", 4), ("-1", 5, "response", 0), ("4", 4, "response", 0), ("7", 4, "revisit", 4), ("None", 4, "response", 0), ("None", 4, "response", 0)])
+    name = tmp_path / "a" / m.first().file
+    name.write_bytes(name.read_bytes() + b"\0")
+    with pytest.raises(Exception, match="manifest|header"):
+        warc.read_warc(spark, folder).count()
+
+
 def test_warc_small_payloads_stay_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", "long enough"), (4, "u", "long enough")], "page_id long, url string, html string")
     m = warc.write_warc(df, f"file://{tmp_path}/a", min_revisit_bytes=5)
@@ -401,6 +483,29 @@ def test_sharding(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_sharding_descends_as_defined(spark):
+    """Every row's path, drawn level by level in Python from the same hashes."""
+    tree = sharding.topology(25, planned=24)
+    names = []
+    stack = [tree]
+    while stack:
+        n = stack.pop()
+        names += [c.name for c in n.children]
+        stack += n.children
+    df = spark.range(200).withColumn("key", F.when(F.col("id") % 17 == 0, None).otherwise(F.col("id") - 50))
+    hashes = df.select("id", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(n)) for n in names])).alias("h"))
+    drawn = {r.id: r.h for r in hashes.collect()}
+
+    def descend(h):
+        at = tree
+        while at.children:
+            at = min(at.children, key=lambda c: -math.log((((h[c.name] & (2**64 - 1)) >> 11) + 1.0) / (2**53 + 1)) / c.weight)
+        return at.shard
+
+    got = {r.id: r.shard for r in sharding.place(df, "key", tree).collect()}
+    assert got == {i: descend(h) for i, h in drawn.items()}
+
+
 def test_sharding_moves_only_along_the_changed_path(spark):
     leaf = lambda s, w=1.0: sharding.Node(f"s{s}", shard=s, own_weight=w)
     tree = lambda w: sharding.Node("root", (sharding.Node("r0", (sharding.Node("k0", (leaf(0, w), leaf(1))), sharding.Node("k1", (leaf(2),)))), sharding.Node("r1", (sharding.Node("k2", (leaf(3), leaf(4, 0.0))),))))
@@ -423,6 +528,21 @@ def test_rans_archive(spark):
     assert rans.archive(empty(spark), WORDS).count() == 0
 
 
+def test_rans_parts_of_a_file_and_manifest(spark, tmp_path):
+    df = odd_docs(spark, [(i, f"w{i} " * (i % 50) + "end") for i in range(300)])
+    folder = f"file://{tmp_path}/a"
+    manifest = rans.write_tokens(df, folder, WORDS, partitions=2)
+    key = lambda rows: sorted((r.doc_id, r.start, bytes(r.ids_le)) for r in rows)
+    whole = key(rans.read_tokens(spark, folder).collect())
+    assert len(whole) == 300 and key(rans.read_tokens(spark, folder, task_ids=1000).collect()) == whole
+    name = tmp_path / "a" / manifest.first().file
+    data = bytearray(name.read_bytes())
+    data[2] ^= 1
+    name.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="match"):
+        rans.read_tokens(spark, folder).count()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 70000), max_size=400), st.integers(1, 40))
 def test_rans_blocks(ids, lanes):
@@ -450,6 +570,8 @@ def test_rans_random_access_and_size(tmp_path):
     reader = rans.FileReader(pafs.LocalFileSystem().open_input_file(str(tmp_path / "f")), table, 1)
     assert reader.span(4321, 2500, 1000).tolist() == ids[4321:6821].tolist()
     assert [at for _, at, _ in reader.documents()] == list(range(100, 20_100, 777)) and n == 20_000
+    got = [(k, x.tolist()) for a in range(0, 20_000, 1500) for k, _, x in reader.documents(a, a + 1500)]
+    assert got == [(k, x.tolist()) for k, _, x in reader.documents()]
     p = counts[counts > 0] / 20_000
     assert size * 8 < 20_000 * -(p * np.log2(p)).sum() * 1.35
 
@@ -471,6 +593,77 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_of_one_word():
+    """Phrases and templates of a single word hit wherever the word stands."""
+    a = licenses.built({"zlib": ["zlib"], "two": ["alpha beta"]}, {"mit": "mit"})
+    for text, base, spans in (("mit", [0], []), ("x mit y mit", [1, 3], []), ("zlib", [], [(0, 0)]), ("a zlib alpha beta", [], [(1, 1), (2, 3)]), ("alpha", [], [])):
+        got = licenses.scan_words(licenses.words_of(text.encode()), a)
+        assert [i for i, _ in got["base"]] == base and [(s["start"], s["end"]) for s in got["spans"]] == spans, text
+
+
+def test_licenses_chain_again_after_a_span():
+    a = licenses.built(licenses.TEMPLATES, licenses.BASE_PHRASES)
+    spans = lambda text: [(s["start"], s["end"], s["label"]) for s in licenses.scan_words(licenses.words_of(text.encode()), a)["spans"]]
+    one = "released under the mit license"
+    assert spans(f"{one} {one}") == [(0, 4, "mit"), (5, 9, "mit")]
+    assert spans(f"{one} {'x ' * 20}{one}") == [(0, 4, "mit"), (25, 29, "mit")]
+
+
+def brute_spans(words, templates, min_match, max_gap, min_cover):
+    """Best chains of maximal common runs, by trying every order of anchors (small inputs)."""
+    out = []
+    for label, texts in templates.items():
+        for text in texts:
+            t = text.split()
+            # the longest run of any template that ends at a word, where it cannot grow
+            ending = [max((n for x in sum(templates.values(), []) for e in range(len(x.split())) for n in range(1, min(e, i) + 2) if words[i - n + 1 : i + 1] == x.split()[e - n + 1 : e + 1]), default=0) for i in range(len(words))]
+            anchors = []
+            for i, n in enumerate(ending):
+                grows = i + 1 < len(words) and ending[i + 1] == n + 1
+                if n and not grows:
+                    for e in range(len(t)):
+                        run = min(n, e + 1)
+                        if run >= min(min_match, len(t)) and words[i - run + 1 : i + 1] == t[e - run + 1 : e + 1] and (n <= e + 1 and words[i - n + 1 : i + 1] == t[e - n + 1 : e + 1]):
+                            anchors.append((i, e, n))
+            best = []
+            for k, (i, e, n) in enumerate(anchors):
+                here = (n, i - n + 1)
+                for m, (j, f, _) in enumerate(anchors[:k]):
+                    cut = max(0, j - (i - n), f - (e - n))
+                    if cut < n and j < i and f < e and i - n + cut - j <= max_gap and e - n + cut - f <= max_gap and best[m][0] + n - cut > here[0]:
+                        here = (best[m][0] + n - cut, best[m][1])
+                best.append(here)
+            taken = []
+            for k in sorted(range(len(anchors)), key=lambda k: (-best[k][0], anchors[k][0])):
+                s, e = best[k][1], anchors[k][0]
+                if all(e < a or s > b for a, b in taken):
+                    taken.append((s, e))
+                    if best[k][0] >= min_cover * len(t):
+                        out.append((s, e, label, best[k][0]))
+    return sorted(set(out))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), min_size=1, max_size=3), st.lists(st.sampled_from("abcx"), max_size=14), st.integers(1, 3), st.integers(0, 2))
+def test_license_spans_against_brute_force(templates, text, min_match, max_gap):
+    texts = {f"l{i}": [" ".join(t)] for i, t in enumerate(templates)}
+    a = licenses.TemplateAutomaton(texts, {"zz": "zz"})
+    words = [w.encode() for w in text]
+    got = licenses.scan_words(words, a, min_match, max_gap, 0.5)["spans"]
+    want = brute_spans(text, texts, min_match, max_gap, 0.5)
+    within = lambda s, o: o[0] <= s[0] and o[1] >= s[1] and o[3] > s[3] and o[2] != s[2]
+    want = [s for s in want if not any(within(s, o) for o in want)]
+    assert sorted({(s["start"], s["end"], s["label"], s["covered"]) for s in got}) == want
+
+
+def test_license_templates_from_files(spark, tmp_path):
+    (tmp_path / "own-1.0.txt").write_text("Every user may copy this text as often as wanted")
+    got = licenses.read_templates(spark, str(tmp_path))
+    assert list(got) == ["own-1.0"]
+    found = licenses.scan(odd_docs(spark, [(1, "x every USER may copy this text, as often as wanted"), (None, "none")]), templates=got).collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in found) == [(0, ""), (1, "own-1.0")]
+
+
 def test_licenses_know_whole_texts():
     """Bodies and single passages name their license, not one that shares some of their words."""
     a = licenses.built(licenses.TEMPLATES, licenses.BASE_PHRASES)

@@ -193,10 +193,20 @@ class FileReader:
         got = np.concatenate([self.block(i) for i in range(lo, hi)])
         return got[start - lo * block_ids : start - lo * block_ids + count]
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(document, first id's number, ids), with a block or a document in memory at a time."""
-        parts, held, at, block = [], 0, self.first, 0
-        for key, n in zip(self.keys.tolist(), self.lengths.tolist(), strict=True):
+    def documents(self, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(document, first id's number, ids) of the documents that start at ``start`` to before ``stop`` in the file, with a
+        block or a document in memory at a time."""
+        begins = np.cumsum(self.lengths) - self.lengths
+        lo, hi = np.searchsorted(begins, start), len(begins) if stop is None else np.searchsorted(begins, stop)
+        if lo >= hi:
+            return
+        block, at = self.block_of(int(begins[lo]))
+        parts, held = [], 0
+        if at:
+            parts, block = [self.block(block)[at:]], block + 1
+            held = len(parts[0])
+        at = self.first + int(begins[lo])
+        for key, n in zip(self.keys[lo:hi].tolist(), self.lengths[lo:hi].tolist(), strict=True):
             while held < n:
                 parts.append(self.block(block))
                 held, block = held + len(parts[-1]), block + 1
@@ -204,6 +214,19 @@ class FileReader:
             yield key, at, ids[:n]
             parts, held, at = [ids[n:]] if n < len(ids) else [], len(ids) - n, at + n
 
+    def block_of(self, number: int) -> tuple[int, int]:
+        """The block that holds an id, and the id's place in it. All blocks of a file but the last hold the same number of ids."""
+        size = BLOCK.unpack(self.file.read_at(BLOCK.size, int(self.offsets[0])))[0] if len(self.offsets) else 1
+        return number // max(1, size), number % max(1, size)
+
+
+def checksum(file, chunk: int = 8 << 20) -> int:
+    """crc32 of a whole file."""
+    crc = 0
+    for at in range(0, file.size(), chunk):
+        crc = zlib.crc32(file.read_at(min(chunk, file.size() - at), at), crc)
+    return crc
+
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, partitions: int | None = None) -> DataFrame:
     """Tokenizes ``docs`` (doc_id, text) and writes their ids below ``folder``; the manifest as a DataFrame.
@@ -295,8 +318,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_le (little-endian unsigned 32-bit) of every document in the archive."""
+def read_tokens(spark: SparkSession, folder: str, task_ids: int = 16 * BLOCK_IDS) -> DataFrame:
+    """doc_id, start, n_tokens and ids_le (little-endian unsigned 32-bit) of every document in the archive.
+
+    A task takes the documents that start in ``task_ids`` ids of a file, found by its directory and decoded from its checkpoints,
+    so a large file is decoded by many tasks. Files are held against the manifest: their size, documents, ids and, by the
+    task of their first ids, their checksum; blocks, directory and table by their own checksums.
+    """
     ship(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -307,10 +335,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         table, crc = Table.load(data), zlib.crc32(data)
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array([None if r[0] == NULL_ID else r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary())], ["doc_id", "start", "n_tokens", "ids_le"])
         for batch in batches:
-            for name in column(batch, "file").to_pylist():
+            for name, docs, ids, first, size, crc32, part in zip(*(column(batch, c).to_pylist() for c in ("file", "docs", "ids", "first", "bytes", "crc32", "part")), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as file:
+                    reader = FileReader(file, table, crc)
+                    if (len(reader.keys), reader.ids, reader.first, file.size()) != (docs, ids, first, size):
+                        raise ValueError(f"{name} is not the file of the manifest")
+                    if part == 0 and checksum(file) != crc32:
+                        raise ValueError(f"{name} does not match its checksum")
                     rows, held = [], 0
-                    for row in FileReader(file, table, crc).documents():
+                    for row in reader.documents(part * task_ids, (part + 1) * task_ids):
                         rows.append(row)
                         held += len(row[2])
                         if held >= 2_000_000 or len(rows) >= 10_000:
@@ -319,7 +352,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     if rows:
                         yield emit(rows)
 
-    return manifest.repartition(max(1, min(10_000, manifest.count()))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_le binary")
+    parts = manifest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / F.lit(task_ids)).cast("long")))))
+    return parts.repartition(max(1, min(10_000, parts.count()))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_le binary")
 
 
 def archive(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -36,7 +36,9 @@ def digest32(payload: Column) -> Column:
 
 
 def revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose payload an earlier one holds. Carries no payloads.
+    """(page_id, digest, refers_to) of the records whose payload another one of a smaller page_id holds. Carries no payloads.
+
+    Nobody refers to a record without a page_id; such a record revisits one that has one.
 
     Equal payloads may be a third of all rows: their owner is found by pre-aggregation, and the join's two sides
     are shuffled for it alone, so that Spark can split a large key.
@@ -44,12 +46,16 @@ def revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     slim = pages.filter(F.octet_length(payload) >= min_revisit_bytes).select("page_id", digest32(payload).alias("digest"))
     slim = materialize(slim, "digests")
-    owners = slim.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return slim.join(materialize(owners, "owners"), "digest").filter("page_id <> owner").select("page_id", "digest", F.col("owner").alias("refers_to"))
+    owners = slim.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).filter("n > 1 AND owner IS NOT NULL").drop("n")
+    return slim.join(materialize(owners, "owners"), "digest").filter("page_id IS NULL OR page_id <> owner").select("page_id", "digest", F.col("owner").alias("refers_to"))
+
+
+def _name(page_id) -> str:
+    return "null" if page_id is None else str(page_id)
 
 
 def _uri(url: str | None, page_id) -> str:
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:x-page:{page_id}"
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:x-page:{_name(page_id)}"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, copy: int, date: str) -> bytes:
@@ -58,7 +64,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, cop
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     block_digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page_id}{f':{copy}' if copy else ''}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url, page_id)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{_name(page_id)}{f':{copy}' if copy else ''}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url, page_id)}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{block_digest}", f"Content-Type: application/http; msgtype={'response'}", f"Content-Length: {len(block)}"]
@@ -69,12 +75,12 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, min_re
     """Writes ``pages`` (page_id, url, html) below ``folder``; the manifest as a DataFrame.
 
     Null html is an empty payload, and a null url becomes a URN. Of repeated rows of one page_id and payload the first
-    is the response and the others revisit it; a null page_id has record 0 bytes of identity and is kept as -1.
-    An empty table gives an archive without files.
+    is the response and the others revisit it; a null page_id is written as "null", and of equal payloads only such records
+    have, each is a response. An empty table gives an archive without files.
     """
     spark = pages.sparkSession
     ship(spark)
-    pages = pages.select(F.coalesce(F.col("page_id"), F.lit(-1)).alias("page_id"), "url", "html")
+    pages = pages.select("page_id", "url", "html")
     none = F.lit(None)
     notes = revisits(pages, min_revisit_bytes).select("page_id", none.cast("string").alias("url"), none.cast("string").alias("html"), F.lit(0).alias("kind"), "digest", "refers_to")
     rows = pages.select("page_id", "url", "html", F.lit(1).alias("kind"), none.cast("string").alias("digest"), none.cast("long").alias("refers_to"))
@@ -99,7 +105,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, min_re
                 done.append((name, records, size, sha.hexdigest()))
                 out, files = None, files + 1
 
-        page, owners, seen = None, {}, {}
+        page, owners, seen = -1, {}, {}
         for batch in batches:
             for piece in slices(batch, 256):
                 for row in piece.to_pylist():
@@ -111,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, min_re
                     payload = (row["html"] or "").encode()
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     refers = owners.get(digest)
-                    if refers is None and digest in seen and len(payload) >= min_revisit_bytes:
+                    if refers is None and page is not None and digest in seen and len(payload) >= min_revisit_bytes:
                         refers = page
                     copy = len(seen) if digest not in seen else seen["copies"]
                     seen[digest] = True
@@ -146,6 +152,19 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, rest[: int(headers["Content-Length"])]
 
 
+class _Hashed:
+    """A stream whose bytes are counted and hashed as they are read."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sha = stream, 0, hashlib.sha1()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
 def _members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """Uncompressed gzip members of a stream, one in memory at a time."""
     opener, parts, data = zlib.decompressobj(31), [], b""
@@ -158,17 +177,22 @@ def _members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Records of the archive's committed files, checked against their digests."""
+    """Records of the archive's committed files, checked against their digests, and files against the manifest."""
     ship(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest") if manifest is None else manifest
 
+    def number(urn: str) -> int | None:
+        name = re.match(r"<urn:x-page:(null|-?\d+)", urn)[1]
+        return None if name == "null" else int(name)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         for batch in batches:
-            for name in column(batch, "file").to_pylist():
+            for name, records, size, sha1 in zip(*(column(batch, c).to_pylist() for c in ("file", "records", "bytes", "sha1")), strict=True):
                 rows = []
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for raw in _members(stream):
+                    hashed = _Hashed(stream)
+                    for raw in _members(hashed):
                         head, _, rest = raw.partition(b"\r\n\r\n")
                         h = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
                         block = rest[: int(h["Content-Length"])]
@@ -176,8 +200,9 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
                         said, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), h["WARC-Payload-Digest"].removeprefix("sha1:")
                         if h["WARC-Type"] == "response" and (len(payload) != said or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"{name}: {h['WARC-Record-ID']} does not match its digest")
-                        number = lambda x: int(re.match(r"<urn:x-page:(-?\d+)", x)[1])
                         rows.append((number(h["WARC-Record-ID"]), said, digest, h["WARC-Type"], number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None))
+                if (len(rows), hashed.size, hashed.sha.hexdigest()) != (records, size, sha1):
+                    raise ValueError(f"{name} is not the file of the manifest")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
