@@ -192,7 +192,12 @@ def test_evaluation_and_tuning(spark):
     assert evaluate.tune_threshold(ws, binary, "v") == pytest.approx(2 / 3)
     assert evaluate.persistence_threshold(ws, binary, "v") == pytest.approx(0.75)
     assert evaluate.candidate_count(ws.clean, "v", 0.6) == 4 + 2 * 2
-    assert evaluate.choose_metric(ws, binary, "v")[0] in ("jaccard", "cosine")
+    # jaccard keeps the three together at 2/3, cosine at sqrt(2/3) = 0.816: both leave the pairs (1, 2) and (2, 3), and the first wins
+    assert evaluate.choose_metric(ws, binary, "v") == ("jaccard", pytest.approx(2 / 3))
+    assert evaluate.choose_metric(ws, binary, "v", ("cosine",)) == ("cosine", pytest.approx((2 / 3) ** 0.5))
+    assert resolution.long("v").auto(ws, binary).threshold == pytest.approx(2 / 3)
+    assert resolution.long("v").tune(ws, binary).threshold == pytest.approx(2 / 3)
+    assert resolution.long("v").tune_persistent(ws, binary).threshold == pytest.approx(0.75)
     got = evaluate.Evaluator(ws, binary=binary).evaluate({"none": lambda w: w, "er": resolution.long("v", 0.6, False)})
     assert got["none"]["binary"] == 0.5 and got["er"]["binary"] == 1.0
 
@@ -214,3 +219,82 @@ def test_streamed_labels_resolve_incrementally(spark, tmp_path):
     points = pairs.select("id", labels.er_context(["id_a"], ["id_b"]).alias("context"))
     made = [json.loads(r.value) for r in labels.requests(points, "g", labels.RequestConfig()).collect()]
     assert sum(len(m["content"]) for m in made) == 2 and made[0]["configuration"]["task_type"] == "er"
+
+
+def test_updates_refuse_clashing_values(spark):
+    ws = WorkingSet.create(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), row_key=["id"], unique=True)
+    one = ws.clean.where("id = 1").select("hash", F.lit("z").alias("value"))
+    ws.update_attr("v", one.union(one), missing="keep")
+    assert sorted(r.v for r in ws.clean.collect()) == ["b", "z"]
+    ws.update_attr("v", one.union(one.withColumn("value", F.lit("y"))))
+    with pytest.raises(Exception, match="two different values"):
+        ws.clean.collect()
+
+
+def test_sample_joins_know_both_tables(spark):
+    s = Session(spark)
+    s.sample(spark.createDataFrame([(1, 10.0), (2, 20.0)], "k int, price double"), "a", row_key=["k"], unique=True)
+    s.sample(spark.createDataFrame([(1, 1000.0, "x"), (1, 500.0, "y"), (3, 7.0, "x")], "k int, price double, note string"), "b")
+    get = lambda q: {r.group: r.agg for r in s.sql(q).collect()}
+    assert get("selectrawsc sum(b.price) from a join b on a.k = b.k") == {"1": 1500.0}
+    assert get("selectrawsc sum(a.price) from a join b on a.k = b.k where 'a.k' = 'k'") == {"1": 0.0}
+    assert get("selectrawsc count(1) from b join a on a.k = b.k where a.price > 5 group by note") == {"x": 1.0, "y": 1.0}
+    assert get("selectnsc sum(b.price) from a join b on a.k = b.k group by a.k") == {"1": 0.0, "2": 0.0}
+    s.sample(spark.range(100).withColumnRenamed("id", "k"), "c", 0.5)
+    with pytest.raises(ValueError, match="whole table"):
+        s.sql("selectrawsc count(1) from a join c on a.k = c.k")
+
+
+def test_saved_sets_and_cleanup(spark):
+    from tidemark.sources import catalog
+
+    s = Session(spark)
+    s.sample(spark.range(10), "saved_t", 0.5, key="id")
+    s.save("saved_t")
+    again = Session(spark).open("saved_t")
+    assert again.ratio == 0.5 and again.clean.count() == s.get("saved_t").clean.count() and again.base.count() == 10
+    assert catalog.column_indexes(spark, "saved_t_clean", ["ID", "hash"]) == [2, 0]
+    with pytest.raises(KeyError, match="no column"):
+        catalog.column_indexes(spark, "saved_t_clean", ["nope"])
+    with pytest.raises(ValueError, match="has the columns"):
+        catalog.overwrite(spark.range(3), "saved_t_clean")
+    s.close()
+    assert not spark.catalog.tableExists("saved_t_clean")
+
+
+def test_learned_similarity_and_regressor(spark):
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}", "same words here", "same words here" if i % 2 else "other thing") for i in range(24)], "id_a string, id_b string, value_a string, value_b string")
+    truth = spark.createDataFrame([(f"a{i}/b{i}", float(i % 2)) for i in range(24)], "id string, label double")
+    for estimator, selector in ((active.svm(20, 0.01), active.margin_selector), (active.forest_regressor(5), active.uncertainty_selector)):
+        heard = []
+        learned = active.LearnedSimilarity(active.ActiveLearner(estimator, selector, active.TableLabels(truth), budget=14, batch=2, bootstrap=10), on_model=[heard.append])
+        with pytest.raises(ValueError, match="train"):
+            learned(pairs)
+        learned.train(pairs)
+        assert len(heard) >= 2 and sorted(r.id_a for r in learned(pairs).collect()) == sorted(f"a{i}" for i in range(1, 24, 2))
+    ws = WorkingSet.create(spark.createDataFrame([(i, f"name {i % 3}") for i in range(6)], "id int, v string"), row_key=["id"], unique=True)
+    a, b = ws.clean.select(F.col("hash").alias("hash1"), F.col("v").alias("x")), ws.clean.select(F.col("hash").alias("hash2"), F.col("v").alias("y"))
+    both = a.join(b, F.col("hash1") < F.col("hash2"))
+    labels = both.select(F.concat_ws("/", "hash1", "hash2").alias("id"), (F.col("x") == F.col("y")).cast("double").alias("label"))
+    got = evaluate.bought_constraints(ws, "v", active.ActiveLearner(active.svm(10, 0.01), active.margin_selector, active.TableLabels(labels), budget=15, batch=5, bootstrap=15), both)
+    assert got.count() == 15 and got.where("same").count() == 3
+
+
+def test_crowd_strategy(spark, tmp_path):
+    from tidemark.streaming import labels
+
+    points = spark.createDataFrame([("p", "x"), ("q", "y")], "id string, context string")
+    (tmp_path / "in").mkdir()
+    crowd = labels.CrowdStrategy(spark, str(tmp_path / "out"), str(tmp_path / "in"))
+    heard = []
+    for i, (p, y) in enumerate((("p", 1.0), ("other", 1.0))):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"group_id": "g", "id": p, "label": y, "worker": "w"}) + "\n")
+    with pytest.raises(TimeoutError, match="1 points"):
+        crowd.run(points, "g", lambda d: heard.extend(r.id for r in d.collect()), str(tmp_path / "c"))
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"group_id": "g", "id": "q", "label": 0.0, "worker": "w"}) + "\n")
+    got = {r.id: r.label for r in crowd.run(points, "g", lambda d: heard.extend(r.id for r in d.collect()), str(tmp_path / "c")).collect()}
+    assert got == {"p": 1.0, "q": 0.0} and heard == ["p", "q"]
+    assert spark.read.text(str(tmp_path / "out")).count() >= 2
+    answers = labels.FileLabels(spark, str(tmp_path / "in")).label(points)
+    assert {r.id for r in answers.collect()} == {"p", "q"}
+    assert points.select(labels.sa_context("context").alias("c")).first().c == "x"

@@ -33,19 +33,22 @@ def test_tokenize_joins_columns(spark):
     assert one(spark, tokens.tokenize(tokens.word(), "a", "b"), a="x y", b="y") == ["x", "y", "y"]
 
 
-BAG = {"a": ["a", "b", "c", "a", "c"], "b": ["a", "b", "d", "a", "e"]}
+# x occurs three and two times, y once each: three tokens in common, of six and five
+BAG = {"a": ["x", "y", "x", "z", "x", "q"], "b": ["y", "x", "x", "r", "p"]}
 
 
-@pytest.mark.parametrize(("name", "want", "weighted"), [("jaccard", 3 / 7, 2 / 7), ("overlap", 3.0, 4.0), ("dice", 0.6, 4 / 9), ("cosine", 0.6, 5**-0.5)])
+@pytest.mark.parametrize(("name", "want", "weighted"), [("jaccard", 3 / 8, 2.5 / 12.5), ("overlap", 3.0, 2.5), ("dice", 6 / 11, 5 / 15), ("cosine", 3 / 30**0.5, 2.5 / 50**0.5)])
 def test_bag_similarities(spark, name, want, weighted):
-    w = F.create_map(*[F.lit(x) for x in ("a", 1.0, "b", 2.0, "c", 3.0, "d", 4.0)])
+    """Weights: x 0.5, y 1.5, z 7, r 2.5; p and q have none. The bags weigh 10 and 5, what they share 2.5."""
+    w = F.create_map(*[F.lit(x) for x in ("x", 0.5, "y", 1.5, "z", 7.0, "r", 2.5)])
     assert one(spark, similarity(name, F.col("a"), F.col("b")), **BAG) == pytest.approx(want)
     assert one(spark, similarity("Weighted" + name, F.col("a"), F.col("b"), w), **BAG) == pytest.approx(weighted)
 
 
 def test_edit_distance_and_empty_bags(spark):
-    assert one(spark, edit_distance(F.col("a"), F.col("b")), **BAG) == 2
-    assert one(spark, edit_distance(F.col("a"), F.col("b"), 1), **BAG) == 2
+    words = {"a": ["kit", "ten"], "b": ["sit", "tin"]}
+    assert one(spark, edit_distance(F.col("a"), F.col("b")), **words) == 2
+    assert one(spark, edit_distance(F.col("a"), F.col("b"), 1), **words) == 2
     for name in ("jaccard", "dice", "cosine", "overlap"):
         assert one(spark, similarity(name, F.col("a"), F.col("b")), a=[], b=[]) == 0
     with pytest.raises(ValueError, match="unknown"):

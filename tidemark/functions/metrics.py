@@ -198,7 +198,7 @@ def matching_soundex(a: str, b: str) -> float:
 
 
 def ordered_name(a: str, b: str) -> float:
-    """Mean, over aligned words from the end, of Soundex and trigram similarity; later words weigh more."""
+    """Mean, over aligned words from the end, of Soundex and Smith-Waterman similarity; later words weigh more."""
     x, y = _tokens(a), _tokens(b)
     n = min(len(x), len(y))
     if not n:
@@ -218,7 +218,10 @@ def monge_elkan(a: str, b: str) -> float:
 
 
 def tag_link_token(a: str, b: str) -> float:
-    """Common characters in order of position, within a window, over the longer length."""
+    """Common characters within a window, nearer ones counting more, over the longer length.
+
+    No published definition of this metric is known here; this one is the library's own.
+    """
     if a == b:
         return 1.0
     if not a or not b:

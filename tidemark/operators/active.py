@@ -8,6 +8,7 @@ from typing import Protocol
 
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import RandomForestRegressor, RegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def forest(trees: int = 100, depth: int = 4, bins: int = 100, seed: int = 0) ->
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, featuresCol="features", labelCol="label")
 
 
+def forest_regressor(trees: int = 100, depth: int = 4, bins: int = 100, seed: int = 0) -> RandomForestRegressor:
+    """A forest whose prediction is the mean label of its leaves, between 0 and 1."""
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, featuresCol="features", labelCol="label")
+
+
 def _least(points: DataFrame, by: Column, n: int, ties: bool) -> DataFrame:
     """The n rows with the least value; with ``ties`` also those equal to the last of them."""
     ranked = points.withColumn("_by", by)
@@ -73,7 +79,7 @@ def margin_selector(points: DataFrame, n: int, model) -> DataFrame:
 
 def uncertainty_selector(points: DataFrame, n: int, model) -> DataFrame:
     """Points on whose class the trees disagree most (largest p (1 - p)); random ones if they agree on all."""
-    p = vector_to_array("probability")[1]
+    p = F.col("prediction") if isinstance(model, RegressionModel) else vector_to_array("probability")[1]
     scored = model.transform(points).withColumn("_doubt", F.round(p * (1 - p), 12)).select(*points.columns, "_doubt")
     return _least(scored, F.struct(-F.col("_doubt"), bucket(F.col("id"), 1 << 31)), n, False).drop("_doubt")
 
@@ -163,6 +169,38 @@ def pair_features(pairs: DataFrame, names: list[str], left: str = "value_a", rig
     return pairs.withColumns({"id": F.concat_ws("/", F.col("id_a").cast("string"), F.col("id_b").cast("string")), "features": array_to_vector(values)})
 
 
+@dataclass
+class LearnedSimilarity:
+    """Similarity of two values that a learner works out from base metrics: the current model's prediction."""
+
+    learner: ActiveLearner
+    metrics: list[str] = field(default_factory=lambda: ["Levenshtein", "JaroWinkler"])
+    model: object = None
+    on_model: list[Callable[[object], None]] = field(default_factory=list)
+
+    def train(self, pairs: DataFrame, known: DataFrame | None = None) -> LearnedSimilarity:
+        """Learns from pairs (id_a, id_b, value_a, value_b), whose labels the learner buys; every model is heard of."""
+        points = materialize(pair_features(pairs, self.metrics), "pairs")
+        for step in self.learner.steps(points, known):
+            self.update(step.model)
+        return self
+
+    def update(self, model) -> None:
+        self.model = model
+        for f in self.on_model:
+            f(model)
+
+    def similarity(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with ``sim``."""
+        if self.model is None:
+            raise ValueError("there is no model yet: train first")
+        return self.model.transform(pair_features(pairs, self.metrics)).select(*pairs.columns, F.col("prediction").cast("double").alias("sim"))
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """As a matcher: the pairs whose similarity is above a half."""
+        return self.similarity(pairs).where("sim > 0.5").drop("sim")
+
+
 @dataclass
 class ActiveMatcher:
     """Matcher that learns which pairs match: labels bought so far override the model. ``passthrough`` keeps labelled ones only."""

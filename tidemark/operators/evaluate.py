@@ -16,7 +16,7 @@ from ..functions.similarity import edit_distance, similarity
 from ..functions.tokens import Tokenizer, tokenize, word
 from ..plans.scratch import materialize
 from . import simjoin
-from .active import confusion, pair_features, svm
+from .active import ActiveLearner, confusion, pair_features, svm
 from .sample import WorkingSet
 
 
@@ -77,6 +77,19 @@ class Evaluator:
         return out
 
 
+def bought_constraints(ws: WorkingSet, attr: str, learner: ActiveLearner, pairs: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Binary constraints from labels that an active learner buys for candidate pairs (hash1, hash2) of the clean sample.
+
+    Only bought labels count, not what the model predicts for other pairs.
+    """
+    cells = ws.clean.select("hash", F.col(attr).cast("string").alias("v"))
+    a, b = (cells.select(F.col("hash").alias(f"hash{i}"), F.col("v").alias(f"value_{s}")) for i, s in ((1, "a"), (2, "b")))
+    both = pairs.select("hash1", "hash2").join(a, "hash1").join(b, "hash2")
+    points = materialize(pair_features(both.withColumnsRenamed({"hash1": "id_a", "hash2": "id_b"}), metrics or ["Levenshtein", "JaroWinkler"]), "points")
+    bought = learner.fit(points).labelled
+    return points.join(bought.select("id", "label"), "id").select(F.col("id_a").alias("hash1"), F.col("id_b").alias("hash2"), F.lit(attr).alias("attr"), (F.col("label") > 0.5).alias("same"))
+
+
 def _value(name: str, a: Column, b: Column) -> Column:
     return edit_distance(a, b).cast("double") if name == "edit" else similarity(name, a, b)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import Tokenizer, white_space, word
 from ..plans.scratch import materialize
-from . import simjoin
+from . import evaluate, simjoin
 from .graph import connected_components
 from .matchers import Hybrid, Matcher, by_similarity, shares
 from .sample import WorkingSet
@@ -52,6 +52,21 @@ class EntityResolution:
     def with_(self, **changes) -> EntityResolution:
         return replace(self, **changes)
 
+    def tune(self, ws: WorkingSet, binary: DataFrame) -> EntityResolution:
+        """With the largest threshold that keeps together what the binary constraints say is the same."""
+        found = evaluate.tune_threshold(ws, binary, self.attr, self.similarity, self.tokenizer)
+        return self if found is None else self.with_(threshold=found)
+
+    def tune_persistent(self, ws: WorkingSet, binary: DataFrame) -> EntityResolution:
+        """With the threshold just below the first similarity at which different values merge."""
+        found = evaluate.persistence_threshold(ws, binary, self.attr, self.similarity, self.tokenizer)
+        return self if found is None else self.with_(threshold=found)
+
+    def auto(self, ws: WorkingSet, binary: DataFrame, names: tuple[str, ...] = ("jaccard", "cosine")) -> EntityResolution:
+        """With the metric, at its tuned threshold, that leaves the fewest candidates."""
+        name, found = evaluate.choose_metric(ws, binary, self.attr, names)
+        return self.with_(similarity=name, threshold=found)
+
     def values(self, df: DataFrame) -> DataFrame:
         """(id, value, n) of the attribute's distinct values."""
         value = F.coalesce(F.col(self.attr).cast("string"), F.lit(""))

@@ -54,6 +54,12 @@ def consistent(df: DataFrame, key: str, ratio: float) -> tuple[DataFrame, float]
     return df.where(bucket(key, n) == 0), 1.0 / n
 
 
+def uniform(rows: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
+    """Rows whose seeded hash falls below the ratio: each by itself, and the same ones however often the plan runs."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("hash"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return rows.where(drawn < F.lit(ratio))
+
+
 @dataclass(frozen=True)
 class SampleMeta:
     base: str
@@ -80,8 +86,8 @@ class WorkingSet:
         if key is not None:
             sample, ratio = consistent(base, key, ratio)
         else:
-            sample = base.sample(False, ratio, seed) if ratio < 1.0 else base
-        if persist or (key is None and ratio < 1.0):
+            sample = uniform(base, ratio, seed) if ratio < 1.0 else base
+        if persist:
             sample = materialize(sample, "sample")
         return cls(df.sparkSession, SampleMeta(name, ratio, key, seed), base, sample, sample)
 

@@ -262,6 +262,15 @@ def block_pairs(df: DataFrame, block: list[str], id: str = "hash") -> DataFrame:
     return left.join(right, on).filter("id_a < id_b").select("id_a", "id_b")
 
 
+def by_schema(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The table under another one's column names (``names`` maps own to other), so that a join can take both; fails if a
+    column is not mapped to one there is."""
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise KeyError(f"no column {', '.join(missing)} to map")
+    return df.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
 def pair_similarity(pairs: DataFrame, left: Column, right: Column, similarity_name: str, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Adds ``sim`` to pairs that carry the two texts."""
     tok = tokenizer or word()

@@ -8,6 +8,7 @@ twice. No network is involved.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -94,6 +95,46 @@ class FileLabels:
         return points.select("id").join(got, "id")
 
 
+@dataclass
+class CrowdStrategy:
+    """Asks for labels of all points, hears of answers batch by batch, and waits until every point has one."""
+
+    spark: SparkSession
+    outbox: str
+    inbox: str
+    config: RequestConfig = field(default_factory=RequestConfig)
+
+    def send(self, points: DataFrame, group_id: str, fields: list[str] | None = None) -> int:
+        """Writes the requests of points (id, context); how many there are."""
+        made = materialize(requests(points, group_id, self.config, fields), "requests")
+        made.write.mode("append").text(self.outbox)
+        return made.count()
+
+    def run(self, points: DataFrame, group_id: str, on_result: Callable[[DataFrame], None], checkpoint: str | None = None, timeout: float = 0.0, pause: float = 1.0, fields: list[str] | None = None) -> DataFrame:
+        """Sends the points, hands every batch of their (id, label) to ``on_result``, and gives all of them back.
+
+        Answers are looked for until all points have one or ``timeout`` seconds are over; then what is missing is an error.
+        """
+        self.send(points, group_id, fields)
+        path, until = checkpoint or new_path(self.spark, "crowd"), time.monotonic() + timeout
+        asked = points.select("id")
+
+        def handle(batch: DataFrame, _: int) -> None:
+            got = materialize(votes(batch.where(F.col("group_id") == group_id)).join(asked, "id", "left_semi"), "answers")
+            if not got.isEmpty():
+                on_result(got)
+
+        while True:
+            each_batch(answer_stream(self.spark, self.inbox), handle, path).awaitTermination()
+            answers = self.spark.read.schema(ANSWERS).json(self.inbox).where(F.col("group_id") == group_id)
+            left = pending(points, answers).count()
+            if not left:
+                return votes(answers).join(asked, "id", "left_semi")
+            if time.monotonic() >= until:
+                raise TimeoutError(f"{left} points of {group_id} have no answer")
+            time.sleep(pause)
+
+
 def stream_resolution(resolution: IncrementalResolution, pairs: DataFrame, stream: DataFrame, checkpoint: str | None = None):
     """Entity resolution that grows with the answers: each batch's matches become edges, and the sample is rewritten.
 
