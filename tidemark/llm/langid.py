@@ -139,13 +139,14 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     labelled = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     distinct = rows.select("lang", "hash").distinct()
-    sizes = distinct.groupBy("lang").count()
+    # Joined by broadcast: a few bytes for each language, of which the driver holds a vector of 8 KB later on.
+    sizes = F.broadcast(distinct.groupBy("lang").count())
     # Only hashes below a share that holds more than per_lang of them are sorted, so that a language's list is short: the share is
     # ten standard deviations and a hundred too large, and a list of fewer has a chance below 1e-20.
     share = F.lit(per_lang + 10 * per_lang**0.5 + 100) / F.col("count")
     near = distinct.join(sizes, "lang").filter(F.col("hash").cast("double") / F.lit(2.0**64) + 0.5 < share)
     hashes = near.groupBy("lang").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
-    cuts = hashes.select("lang", F.element_at("hashes", F.least(F.size("hashes"), F.lit(per_lang))).alias("cut"))
+    cuts = F.broadcast(hashes.select("lang", F.element_at("hashes", F.least(F.size("hashes"), F.lit(per_lang))).alias("cut")))
     picked = rows.join(cuts, "lang").filter("hash <= cut").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
