@@ -511,7 +511,7 @@ def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def active_learning(spark, sf_dir):
     """Errors of actively trained models, batch by batch. Labels come from the table of labels; tests check the loop."""
     points, truth = _points(spark, sf_dir)
-    learner = active.ActiveLearner(active.svm(reg=0.01), active.margin_selector, active.TableLabels(truth), budget=40, batch=10, bootstrap=10)
+    learner = active.ActiveLearner(active.svm(20, 0.01), active.margin_selector, active.TableLabels(truth), budget=40, batch=10, bootstrap=10)
     full = points.join(truth, "id")
     rows = [(s.labelled.count(), active.train_error(s.model, full)) for s in learner.steps(points)]
     return spark.createDataFrame(rows, "labels long, error double")
@@ -615,10 +615,10 @@ def json_files(spark, sf_dir):
     return spark.read.text(path)
 
 
-@query("SELECT c_custkey AS k, try_cast(c_name AS INTEGER) AS n, try_cast(substr(c_name, 10) AS BIGINT) AS m FROM customer")
+@query("SELECT c_custkey AS k, coalesce(try_cast(c_name AS INTEGER), -1) AS n, try_cast(substr(c_name, 10) AS BIGINT) AS m FROM customer")
 def typed_coercion(spark, sf_dir):
     schema = spark.createDataFrame([], "k long, n int, m long").schema
-    return coerce(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"), "c_name", F.substring("c_name", 10, 100)), schema)
+    return coerce(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"), "c_name", F.substring("c_name", 10, 100)), schema).fillna(-1, ["n"])
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, lower(c_mktsegment) AS c_mktsegment FROM customer")
@@ -630,7 +630,7 @@ def write_back_table(spark, sf_dir):
     return spark.table("tidemark_write_back")
 
 
-@query("SELECT s_suppkey, s_name, 1::BIGINT AS checked, 'yes' AS property FROM supplier UNION ALL SELECT s_suppkey, s_name, NULL, 'yes' FROM supplier")
+@query("SELECT s_suppkey, s_name, 1::BIGINT AS checked, 'yes' AS property FROM supplier UNION ALL SELECT s_suppkey, s_name, 0, 'yes' FROM supplier")
 def table_ddl(spark, sf_dir):
     """A table is made, given a property and a column, renamed, and added to."""
     for name in ("tidemark_ddl", "tidemark_ddl_new"):
@@ -639,7 +639,7 @@ def table_ddl(spark, sf_dir):
     catalog.add_columns(spark, "tidemark_ddl", {"checked": "bigint"})
     catalog.rename(spark, "tidemark_ddl", "tidemark_ddl_new")
     own = catalog.properties(spark, "tidemark_ddl_new")["tidemark.own"]
-    return catalog.append(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(1).cast("long").alias("checked")), "tidemark_ddl_new").withColumn("property", F.lit(own))
+    return catalog.append(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(1).cast("long").alias("checked")), "tidemark_ddl_new").fillna(0, ["checked"]).withColumn("property", F.lit(own))
 
 
 @query("SELECT c_custkey, upper(c_name) AS c_name FROM customer")
