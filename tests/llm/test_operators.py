@@ -416,6 +416,48 @@ def test_pivots(spark):
     assert pivots.top_k(v.limit(0), v).count() == 0 and pivots.top_k(v, v.limit(0)).count() == 0
 
 
+def test_pivots_share_evaluated():
+    """Floors and tables change the candidates that are computed, never the result; prints the share computed."""
+    r = np.random.default_rng(3)
+    middles = r.standard_normal((20, 16)) * 3000
+    near = np.floor(middles[r.integers(0, 20, 3000)] + r.standard_normal((3000, 16)) * 60)
+    near = np.floor(near / np.linalg.norm(near, axis=1, keepdims=True) * 10000)
+    for name, c in (("clusters", near), ("independent", np.floor(r.standard_normal((3000, 64)) * 128))):
+        ids, picked = np.arange(len(c)), np.arange(0, len(c), 100)
+        pivots_ = pivots.pick_pivots(c[:500], 32)
+        exact = c[picked] @ c.T
+        shares = {}
+        for tag, floors in (("alone", None), ("with floors", np.sort(np.where(picked[:, None] == ids[None, :500], -np.inf, exact[:, :500]), axis=1)[:, -10])):
+            computed: list[int] = []
+            for i, (q, js, scores) in enumerate(pivots.search_block(picked, c[picked], ids, c, pivots_, 10, floors=floors, evaluated=computed)):
+                want = sorted((-int(x), j) for j, x in enumerate(exact[i].tolist()) if j != q)[:10]
+                assert q == picked[i] and [(-s, j) for s, j in zip(scores, js.tolist(), strict=True)] == want
+            shares[tag] = sum(computed) / exact.size
+        print(f"pivots, {name}: share of candidates computed {shares}")
+        assert name == "independent" or max(shares.values()) < 0.25
+
+
+def test_pivots_rules_out_blocks():
+    """A block whose range of distances cannot reach a query's floor is not computed; ties with the floor are."""
+    c = np.array([[100.0, 0.0], [100.0, 1.0], [99.0, 0.0]])
+    far = np.array([[-100.0, 0.0], [-100.0, 1.0]])
+    computed: list[int] = []
+    q, at = np.array([[100.0, 0.0]]), c[:1]
+    assert [x[2] for x in pivots.search_block(np.array([9]), q, np.arange(2), far, at, 2, floors=np.array([9900.0]), evaluated=computed)] == [[]] and computed == [0]
+    (_, js, scores), = pivots.search_block(np.array([9]), q, np.arange(3), c, at, 3, floors=np.array([10000.0]))
+    assert js.tolist() == [0, 1] and scores == [10000, 10000]
+    assert pivots.raised(-np.inf, [5, 4], 2) == 4 and pivots.raised(7.0, [5, 4], 2) == 7 and pivots.raised(1.0, [5], 2) == 1
+    assert pivots.raised(-np.inf, [pivots.LONG[0]] * 2, 2) == -np.inf
+
+
+def test_pivots_odd_rows(spark):
+    """Rows with a null key take no part; repeated keys are vectors of their own and never their own results."""
+    rows = [(None, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [0.25, 0.0]), (1, [0.25, 0.0]), (2, [1.0, 2.0, 3.0]), (100, [1.0, 0.0])]
+    v = pivots.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = collections.Counter((r.query_id, r.vec_id, r.score) for r in pivots.top_k(v.filter("key = 100"), v).collect())
+    assert got == {(100, 0, 1 << 20): 1, (100, 0, 1 << 19): 1, (100, 1, 1 << 18): 2}
+
+
 def test_pivots_large_numbers():
     c = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**40), 0.0]])
     got = list(pivots.search_block(np.array([9]), np.array([[2.0**20, 3.0]]), np.arange(3), c, c[:1], 2))
