@@ -165,6 +165,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
     ship(spark)
     given = materialize(candidates.select("key", "v", F.size("v").alias("dim")), "candidates")
     queries = materialize(queries.select("key", "v", F.size("v").alias("dim")), "queries")
+    # a cell is about a block at least: pivots come farthest first, so the first few are spread out as well
+    cells = max(1, min(pivots, given.count() // candidate_rows))
     drawn = given.orderBy(F.xxhash64("key"), "key").limit(sample).collect()
     scouts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     centres: dict[int, np.ndarray] = {}
@@ -175,7 +177,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
         scouts[d] = np.array([r.key for r in rows], np.int64), np.array([r.v for r in rows], dtype=np.float64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds each candidate's nearest pivot."""
+        """Adds each candidate's nearest pivot among the first ``cells``."""
         for batch in batches:
             dim = column(batch, "dim").to_numpy(zero_copy_only=False)
             flat, ends = column(batch, "v").flatten().to_numpy(zero_copy_only=False), np.cumsum(dim, dtype=np.int64)
@@ -183,7 +185,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int =
             for d in set(dim.tolist()) & set(centres):
                 rows = np.flatnonzero(dim == d)
                 v = flat[(ends[rows] - d)[:, None] + np.arange(d)[None, :]]
-                cell[rows] = distances(v, centres[d]).argmin(axis=1)
+                cell[rows] = distances(v, centres[d][:cells]).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
     placed = materialize(given.mapInArrow(place, "key long, v array<double>, dim int, cell int"), "cells")
