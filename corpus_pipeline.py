@@ -16,27 +16,51 @@ from tidemark.plans.scratch import materialize
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def unused(docs: DataFrame, stem: str) -> str:
+    """``stem``, with underscores before it until no column of ``docs`` starts so, in whatever case."""
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (without a letter) go; a missing lang is filled with the prediction, if there is any."""
+    """Documents in no language (without a letter) go; a missing lang is filled with the prediction, if there is any.
+
+    Null and empty texts have no letter. Ties between languages go to the first name. Repeated rows are judged alike; rows with
+    a null doc_id are rows like any other. An empty table gives an empty one. Other columns stay, whatever their names.
+    """
     prototypes = langid.train(docs, ~langid.held_out())
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    named = langid.predict(docs, prototypes, names=("_lang", "_score"))
-    return named.filter(F.col("_lang") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    lang, score = (unused(docs, n) for n in ("_lang", "_score"))
+    named = langid.predict(docs, prototypes, names=(lang, score))
+    return named.filter(F.col(lang) != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the smallest doc_id's."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the smallest doc_id's.
+
+    Null and empty texts, and rows with a null doc_id, are no one's copies and stay. Of repeated rows of a doc_id and text one
+    stays. An empty table gives an empty one. Other columns stay, whatever their names.
+    """
     return jaccard.keep_first(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, 1.5 times at most, to bring the sources' entropy to 0.9 of the largest; no document goes."""
-    return mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5, prefix="_mix_").select(*docs.columns)
+    """Small sources are repeated, 1.5 times at most, to bring the sources' entropy to 0.9 of the largest; no document goes.
+
+    A null source is a source. Documents without words, null texts among them, take no budget. Repeated rows are repeated alike,
+    ties in the order of drawing fall to the doc_id's text. An empty table gives an empty one. Other columns stay, whatever their names.
+    """
+    return mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5, prefix=unused(docs, "_mix_")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens.
+
+    A null or empty text is the end id alone. Repeated rows are packed once each; a null doc_id stays null. An empty table gives no
+    pieces. Other columns are left out.
+    """
     pieces = packing.pack_documents(docs, TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
