@@ -278,6 +278,18 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), mixing.word_count(F.col("text"))).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    """Names that the operator uses itself change neither rows nor values."""
+    df = mixed(spark).select("doc_id", "text", "source")
+    names = ["_tokens", "_block", "_blocks", "_source", "_s", "_b", "_epoch", "_rank", "_weight", "_take", "_before", "c0", "c1", "tokens", "in_block", "Weight"]
+    mix = lambda x: mixing.mix(x, mixing.word_count(F.col("text")), target_entropy=1.0, max_repeat=2.0, block_rows=20)
+    got, want = mix(df.withColumns({n: F.lit(n) for n in names})), mix(df)
+    assert [c for c in got.columns if c not in want.columns] == names[:-1] and got.columns.count("weight") == 1
+    assert all(r[n] == n for r in got.collect() for n in names[:-1])
+    key = lambda x: collections.Counter(map(tuple, x.select(want.columns).collect()))
+    assert key(got) == key(want)
+
+
 def test_mixing_exponent(spark):
     sizes = spark.createDataFrame([("a", 5, 800), ("b", 5, 100), ("c", 5, 100)], "source string, docs long, tokens long")
     x = mixing.exponent(sizes, 0.9, None)

@@ -85,12 +85,15 @@ def budgets(sizes: DataFrame, x: float, budget_tokens: float | None = None) -> D
 def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = 0.9, max_repeat: float | None = 1.5, budget_tokens: float | None = None, block_rows: int = 2000, key: str = "doc_id", source: str = "source", prefix: str = "") -> DataFrame:
     """``docs`` as drawn, each row once per epoch, with n_tokens, weight, epoch, block and block_rank (from 0 in source and epoch).
 
-    A null source is a source. A source without tokens is drawn once. Equal rows are drawn alike. Columns of ``docs`` stay;
-    result columns that clash get ``prefix``. An empty table gives an empty result.
+    A null source is a source. A source without tokens is drawn once. Equal rows are drawn alike, and those with a null key
+    share a block. Result columns get ``prefix``; columns of ``docs`` stay, whatever their names, but for one that has a
+    result's name. An empty table gives an empty result.
     """
     names = {n: f"{prefix}{n}" for n in ("n_tokens", "weight", "epoch", "block", "block_rank")}
-    key_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    counted = docs.withColumn("_tokens", tokens)
+    # columns go by their places meanwhile, so that no name can meet one made here
+    given = [f"c{i}" for i in range(len(docs.columns))]
+    counted = docs.select("*", tokens.alias("_tokens")).toDF(*given, "_tokens")
+    source, key_text = given[docs.columns.index(source)], F.coalesce(F.col(given[docs.columns.index(key)]).cast("string"), F.lit(""))
     sizes = materialize(counted.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum("_tokens").alias("tokens")), "sizes")
     plan = materialize(budgets(sizes, exponent(sizes, target_entropy, max_repeat, budget_tokens), budget_tokens).withColumn("blocks", F.ceil(F.col("docs") / F.lit(block_rows)).cast("long")), "budgets")
     of = plan.select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"))
@@ -111,4 +114,5 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = 0.9, max
     part = met.filter("_take IS NOT NULL").withColumn("_before", F.coalesce(F.sum("_tokens").over(run), F.lit(0))).filter("_before < _take").drop("_before")
     out = met.filter("_take IS NULL").unionByName(part)
     shown = [F.col("_tokens").alias(names["n_tokens"]), F.col("_weight").alias(names["weight"]), F.col("_epoch").alias(names["epoch"]), F.col("_block").alias(names["block"]), F.col("_rank").alias(names["block_rank"])]
-    return out.select(*[F.col(c) for c in docs.columns if c not in names.values()], *shown)
+    taken = {n.lower() for n in names.values()}
+    return out.select(*[F.col(c).alias(name) for c, name in zip(given, docs.columns, strict=True) if name.lower() not in taken], *shown)
