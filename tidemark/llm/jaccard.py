@@ -31,17 +31,17 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.scratch import collecting, discard, materialize, shuffle_partitions
 from ..plans.ship import ship
-from .common import column, grouped, mix64, slices, utf8_bytes
+from .common import column, give_back, grouped, mix64, slices, utf8_bytes
 
 _U = np.uint64
 SKETCH_BITS = 1024
 
 
 class WordHashes(dict):
-    """Bounded memory of 64-bit word hashes."""
+    """Bounded memory of 64-bit word hashes, about 15 MB."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -210,6 +210,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(kd, minlength=n_docs))))
                 keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(sizes), pa.array(_per_doc(d, n_docs, mix64(e, 61)).view(np.int64)), pa.array(_per_doc(d, n_docs, mix64(e, 62)).view(np.int64)), keys, pa.ListArray.from_arrays(words_at, pa.array(sketch))], ["doc_id", "n", "h1", "h2", "keys", "sketch"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch array<long>")
 
@@ -243,6 +244,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                 d, e = shingles(utf8_bytes(column(part, "text")), words)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=part.num_rows))))
                 yield pa.RecordBatch.from_arrays([column(part, "id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(e.view(np.int64)))], ["id", "grams"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
     sets = materialize(texts.mapInArrow(run, "id long, grams array<long>"), "sets")
@@ -292,6 +294,7 @@ def _across(rows: DataFrame, percent: int, block: int) -> DataFrame:
                     yield emit()
         if found:
             yield emit()
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .common import column, mix64, slices
+from .common import column, give_back, mix64, slices
 
 UNDETERMINED = "und"
 DIM, ORDER = 1024, 3
 #: n-grams whose vectors are held at once, and documents bundled at once.
-GRAMS_AT_ONCE, DOCS_AT_ONCE = 4096, 128
+GRAMS_AT_ONCE, DOCS_AT_ONCE = 1024, 128
 
 
 class Letters:
@@ -159,6 +159,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     sums[x] = sums.get(x, 0) + v[langs == x].sum(axis=0, dtype=np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sum"])
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a language's partial sums, which follow each other."""
@@ -210,6 +211,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                     best, score = cos.argmax(axis=1), np.clip(cos.max(axis=1).astype(np.float64), 0.0, 1.0)
                 found = [labels[i] if h and labels else UNDETERMINED for i, h in zip(best.tolist(), has.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(np.where(has, score, 0.0))], [*kept, *names])
+        give_back()
 
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     return docs.select(*kept).mapInArrow(run, schema)
