@@ -1,6 +1,7 @@
 import json
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tidemark.operators import active, aqp, evaluate, extract, features, matcher
 from tidemark.operators.pipeline import Pipeline, run_pipeline, stage
 from tidemark.operators.sample import WorkingSet, consistent
 from tidemark.plans.parser import ParseError, parse
+from tidemark.plans.scratch import SHUFFLE_CLEANUP_KEY, materialize
 from tidemark.session import Session
 from tidemark.sources.loaders import coerce, read_csv, read_text
 
@@ -298,3 +300,17 @@ def test_crowd_strategy(spark, tmp_path):
     answers = labels.FileLabels(spark, str(tmp_path / "in")).label(points)
     assert {r.id for r in answers.collect()} == {"p", "q"}
     assert points.select(labels.sa_context("context").alias("c")).first().c == "x"
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def left() -> int:
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(blocks.apply(i).getName().startswith("shuffle_") for i in range(blocks.size()))
+
+    before, own = left(), spark.conf.get(SHUFFLE_CLEANUP_KEY, None)
+    counted = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and counted.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP_KEY, None) == own

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Spark's setting that removes a query's shuffle files as soon as the query has ended.
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +36,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: replicated storage instead of lineage."""
+    """Write ``df`` as Parquet below the shared folder and read it back: replicated storage instead of lineage.
+
+    The write's shuffle files go when it ends, as what is read later is the table alone.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     for made in _COLLECTING:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,6 +51,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start meanwhile leave no shuffle files behind; the session's own setting comes back afterwards."""
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY, None)
+    spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_KEY)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
+
+
 _COLLECTING: list[list[str]] = []
 #: Folders written and not yet deleted, by application.
 _MADE: dict[str, set[str]] = {}
