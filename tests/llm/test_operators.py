@@ -290,6 +290,18 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert key(got) == key(want)
 
 
+def test_mixing_orders_blocks_in_runs(spark, monkeypatch):
+    """Runs of a few blocks give the order and the cut of one run over all; rows without a doc_id are dealt by their texts."""
+    df = mixed(spark).select("doc_id", "text", "source").unionByName(spark.createDataFrame([(None, f"x{i} y z", "s1") for i in range(200)], "doc_id long, text string, source string"))
+    mix = lambda: mixing.mix(df, mixing.word_count(F.col("text")), target_entropy=1.0, max_repeat=2.0, block_rows=5, key=mixing.text_key())
+    whole = mix().toPandas()
+    monkeypatch.setattr(mixing, "RUN", 4)
+    rows = lambda x: collections.Counter(map(str, x.itertuples(index=False)))
+    assert rows(mix().toPandas()) == rows(whole)
+    assert whole.groupby(["source", "epoch"], dropna=False).block_rank.agg(lambda r: set(r) == set(range(r.max() + 1))).all()
+    assert whole[whole.doc_id.isna()].block.nunique() > 20
+
+
 def test_mixing_exponent(spark):
     sizes = spark.createDataFrame([("a", 5, 800), ("b", 5, 100), ("c", 5, 100)], "source string, docs long, tokens long")
     x = mixing.exponent(sizes, 0.9, None)

@@ -7,7 +7,7 @@ given, it is the least that uses every document of every source once at least, s
 
 A source is drawn in epochs. Its documents fall into blocks by a hash; an epoch is a permutation of the blocks and, in
 each, of the documents. Whole epochs take all; the last takes blocks in order until the budget is used up, and only
-the block in which that happens is sorted by document. So no task ever holds a source, however large.
+the block in which that happens is sorted by document. So no task ever holds a source, however large, nor all its blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ..plans.scratch import materialize
 
 #: Intervals of one round of bisection (four halvings), and rounds.
 PARTS, ROUNDS = 16, 8
+#: Hashes are below this; blocks that one task puts in order, about.
+PLACES, RUN = 1 << 48, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -29,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_key() -> Column:
+    """The doc_id, or a digest of the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))
+
+
 def _hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 12), 16, 10).cast("long")
 
@@ -82,18 +89,19 @@ def budgets(sizes: DataFrame, x: float, budget_tokens: float | None = None) -> D
     return raw.select("source", "docs", "tokens", (F.col("raw") / F.lit(z)).alias("weight"), F.round(F.col("raw") * F.lit(unit)).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = 0.9, max_repeat: float | None = 1.5, budget_tokens: float | None = None, block_rows: int = 2000, key: str = "doc_id", source: str = "source", prefix: str = "") -> DataFrame:
+def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = 0.9, max_repeat: float | None = 1.5, budget_tokens: float | None = None, block_rows: int = 2000, key: str | Column = "doc_id", source: str = "source", prefix: str = "") -> DataFrame:
     """``docs`` as drawn, each row once per epoch, with n_tokens, weight, epoch, block and block_rank (from 0 in source and epoch).
 
-    A null source is a source. A source without tokens is drawn once. Equal rows are drawn alike, and those with a null key
-    share a block. Result columns get ``prefix``; columns of ``docs`` stay, whatever their names, but for one that has a
+    A null source is a source. A source without tokens is drawn once. Rows with equal keys, or with null ones, share a block and
+    are drawn alike: where many keys may be null, ``key`` should be a column that falls back to another, as ``text_key`` does. Result columns get ``prefix``; columns of ``docs`` stay, whatever their names, but for one that has a
     result's name. An empty table gives an empty result.
     """
     names = {n: f"{prefix}{n}" for n in ("n_tokens", "weight", "epoch", "block", "block_rank")}
     # columns go by their places meanwhile, so that no name can meet one made here
     given = [f"c{i}" for i in range(len(docs.columns))]
-    counted = docs.select("*", tokens.alias("_tokens")).toDF(*given, "_tokens")
-    source, key_text = given[docs.columns.index(source)], F.coalesce(F.col(given[docs.columns.index(key)]).cast("string"), F.lit(""))
+    of_row = docs[key] if isinstance(key, str) else key
+    counted = docs.select("*", tokens.alias("_tokens"), F.coalesce(of_row.cast("string"), F.lit("")).alias("_key")).toDF(*given, "_tokens", "_key")
+    source, key_text = given[docs.columns.index(source)], F.col("_key")
     sizes = materialize(counted.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum("_tokens").alias("tokens")), "sizes")
     plan = materialize(budgets(sizes, exponent(sizes, target_entropy, max_repeat, budget_tokens), budget_tokens).withColumn("blocks", F.ceil(F.col("docs") / F.lit(block_rows)).cast("long")), "budgets")
     of = plan.select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"))
@@ -103,8 +111,15 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = 0.9, max
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1)
     per = per.withColumn("whole", whole.cast("long")).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("whole") * F.col("tokens")).otherwise(0))
     drawn = per.withColumn("epoch", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda e: (e < F.col("whole")) | (F.col("rest") > 0))))
-    order = Window.partitionBy("_source", "epoch").orderBy(_hash(F.lit("rank"), F.col("epoch").cast("string"), F.col("_block").cast("string")), "_block")
-    ranked = drawn.withColumn("rank", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("in_block").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a source's blocks are put in order in two levels: runs of places of about ``RUN`` blocks, then the blocks of a run
+    width = F.ceil(F.lit(float(PLACES)) / F.ceil(F.col("blocks") / F.lit(RUN)))
+    dealt = drawn.withColumn("place", _hash(F.lit("rank"), F.col("epoch").cast("string"), F.col("_block").cast("string"))).withColumn("run", F.floor(F.col("place") / width))
+    earlier = Window.partitionBy("_source", "epoch").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.groupBy("_source", "epoch", "run").agg(F.count("*").alias("n"), F.sum("in_block").alias("held"))
+    runs = runs.select(F.col("_source").alias("s"), F.col("epoch").alias("e"), F.col("run").alias("r"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "held")])
+    order = Window.partitionBy("_source", "epoch", "run").orderBy("place", "_block")
+    placed = dealt.join(runs, dealt["_source"].eqNullSafe(runs["s"]) & (dealt["epoch"] == runs["e"]) & (dealt["run"] == runs["r"]))
+    ranked = placed.withColumn("rank", F.col("n_before") + F.row_number().over(order) - 1).withColumn("before", F.col("held_before") + F.coalesce(F.sum("in_block").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     left = F.when(F.col("epoch") < F.col("whole"), F.lit(None).cast("long")).otherwise(F.greatest(F.lit(0), F.col("rest") - F.col("before")))
     # how many tokens of a block an epoch takes: null is all of them
     turns = ranked.withColumn("take", F.when(left < F.col("in_block"), left)).filter("take IS NULL OR take > 0")

@@ -24,7 +24,7 @@ def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    drawn = mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5)
+    drawn = mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5, key=mixing.text_key())
     return drawn.select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank", F.round("weight", 6).alias("weight"))
 
 
@@ -80,7 +80,7 @@ def oracle_sql() -> dict[str, str]:
     number = lambda *parts: "('0x' || substr(md5(" + " || '/' || ".join(parts) + "), 1, 12))::BIGINT"
     return {
         "op3_mixing": f"""
-            WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+            WITH RECURSIVE d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
                  s AS (SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
                  p AS (SELECT tokens / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0),
                  e AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
@@ -97,11 +97,11 @@ def oracle_sql() -> dict[str, str]:
                  w AS (SELECT s.*, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM s), (SELECT x FROM x)) ELSE 0 END AS raw FROM s),
                  b AS (SELECT *, raw / (SELECT sum(raw) FROM w) AS weight, round(raw * (SELECT max(tokens / raw) FROM w WHERE raw > 0))::BIGINT AS budget, ceil(docs / 2000)::BIGINT AS blocks FROM w),
                  c AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b),
-                 n AS (SELECT d.doc_id, d.source, d.n_tokens, c.weight, c.whole, c.rest, {number("'block'", "coalesce(doc_id::VARCHAR, '')")} % c.blocks AS block FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+                 n AS (SELECT d.doc_id, d.text, d.source, d.n_tokens, c.weight, c.whole, c.rest, {number("'block'", "coalesce(doc_id::VARCHAR, md5(text), '')")} % c.blocks AS block FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
                  k AS (SELECT n.*, unnest(range(whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM n),
-                 o AS (SELECT *, {number("'rank'", "epoch::VARCHAR", "block::VARCHAR")} AS place, {number("'doc'", "epoch::VARCHAR", "coalesce(doc_id::VARCHAR, '')")} AS own FROM k),
+                 o AS (SELECT *, {number("'rank'", "epoch::VARCHAR", "block::VARCHAR")} AS place, {number("'doc'", "epoch::VARCHAR", "coalesce(doc_id::VARCHAR, md5(text), '')")} AS own FROM k),
                  q AS (SELECT *, dense_rank() OVER (PARTITION BY source, epoch ORDER BY place, block) - 1 AS block_rank,
-                              coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, block, own, coalesce(doc_id::VARCHAR, ''), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+                              coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place, block, own, coalesce(doc_id::VARCHAR, md5(text), ''), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
             SELECT doc_id, source, n_tokens, epoch, block, block_rank, round(weight, 6) AS weight FROM q WHERE epoch < whole OR before < rest""",
         "op6_pivots": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings

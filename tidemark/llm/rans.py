@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import discard, materialize, new_path, shuffle_partitions
+from ..plans.scratch import discard, materialize, new_path, shuffle_partitions, shuffles_removed
 from ..plans.ship import ship
 from .common import column, open_fs, slices
 from .tokens import encoder
@@ -313,7 +313,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["file", "docs", "ids", "first", "bytes", "crc32"])
 
     parts = spark.createDataFrame([(p,) for p in sorted(sizes)], "id long").repartition(max(1, len(sizes))) if sizes else spark.createDataFrame([], "id long")
-    parts.mapInArrow(encode, MANIFEST).write.parquet(f"{folder}/manifest")
+    with shuffles_removed(spark):
+        parts.mapInArrow(encode, MANIFEST).write.parquet(f"{folder}/manifest")
     discard(raw, spark)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize, new_path, shuffle_partitions
+from ..plans.scratch import materialize, new_path, shuffle_partitions, shuffles_removed
 from ..plans.ship import ship
 from .common import column, open_fs, slices
 
@@ -137,7 +137,8 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, min_re
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "records", "bytes", "sha1"])
 
     manifest = dealt.mapInArrow(run, MANIFEST)
-    manifest.write.parquet(f"{folder}/manifest")
+    with shuffles_removed(spark):
+        manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
