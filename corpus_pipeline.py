@@ -50,9 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, 1.5 times at most, to bring the sources' entropy to 0.9 of the largest; no document goes.
 
     A null source is a source. Documents without words, null texts among them, take no budget. Repeated rows are repeated alike,
-    ties in the order of drawing fall to the doc_id's text. An empty table gives an empty one. Other columns stay, whatever their names.
+    ties in the order of drawing fall to the doc_id's text, or to the text's digest
+    where it is null. An empty table gives an empty one. Other columns stay, whatever their names.
     """
-    return mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5, prefix=unused(docs, "_mix_")).select(*docs.columns)
+    return mixing.mix(docs, mixing.word_count(F.col("text")), target_entropy=0.9, max_repeat=1.5, key=mixing.text_key(), prefix=unused(docs, "_mix_")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
