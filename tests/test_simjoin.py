@@ -91,3 +91,31 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edit_join_compares_copies_once(spark, monkeypatch):
+    """40 rows of each of 30 names, with an id of their own: pairs of rows are made at the end, pairs of texts before."""
+    written, materialize = {}, simjoin.materialize
+
+    def spy(df, tag):
+        out = materialize(df, tag)
+        written[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(simjoin, "materialize", spy)
+    a = spark.range(1200).selectExpr("id", "concat('Supplier#', lpad(id % 30, 9, '0')) AS name")
+    b = spark.range(1200, 2400).selectExpr("id", "concat('Customer#', lpad(id % 30, 9, '0')) AS name")
+    near = sum(sum(p != q for p, q in zip(f"{i:02}", f"{j:02}", strict=True)) <= 1 for i in range(30) for j in range(30))
+    assert simjoin.edit(a, b, id="id", cols=["name"], threshold=6).count() == near * 1600
+    assert written["near"] == near
+    assert simjoin.edit(a, id="id", cols=["name"], threshold=1).count() == (near - 30) // 2 * 1600 + 30 * 780
+    assert written["near"] == (near - 30) // 2 + 30
+
+
+@pytest.mark.parametrize("few", [0, 1 << 60])
+def test_edit_join_of_texts_with_common_ends(spark, monkeypatch, few):
+    monkeypatch.setattr(simjoin, "_FEW_PAIRS", few)
+    texts = ["aXb", "aXXb", "ab", "aYb", "aXYZb", "a\U0001d11eb", "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r.id_a, r.id_b, r.sim) for r in simjoin.edit(df, id="id", cols=["t"], threshold=1).collect()}
+    assert got == {(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (0, 5, 1.0), (0, 6, 1.0), (2, 3, 1.0), (2, 5, 1.0), (2, 6, 0.0), (3, 5, 1.0), (3, 6, 1.0), (5, 6, 1.0)}

@@ -7,6 +7,8 @@ directions of a pair that lies in the sample. Weights are ``log10(rows / rows wi
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -198,19 +200,49 @@ def segments(text: Column, length: Column, limit: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.struct(i.alias("nr"), F.substring(text, at(i) + 1, at(i + 1) - at(i)).alias("segment")))
 
 
+def _without_common_ends(texts: DataFrame) -> DataFrame:
+    """Adds ``core``: the text without what all texts begin with and end in, which adds no edits to any pair."""
+
+    def common(c: Column) -> int:
+        ends = texts.agg(F.min(c).alias("low"), F.max(c).alias("high")).first()
+        return len(os.path.commonprefix([ends["low"] or "", ends["high"] or ""]))
+
+    core = F.col("text")
+    core = F.substring(core, common(core) + 1, _LONGEST)
+    turned = F.reverse(core)
+    return texts.withColumn("core", F.reverse(F.substring(turned, common(turned) + 1, _LONGEST))).withColumn("length", F.length("core"))
+
+
+_LONGEST = (1 << 31) - 1
+#: Up to so many pairs of like length are compared without counting how often segments meet.
+_FEW_PAIRS = 20_000_000
+
+
 def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, threshold: int = 1) -> DataFrame:
     """Pairs whose token texts (tokens joined by blanks) lie within ``threshold`` edits.
 
-    One of ``threshold + 1`` even segments of the indexed text must stand in the other, near its own place:
-    the multi-match-aware window of that place bounds where. Texts of equal length or shorter are indexed.
+    Different texts are compared, each once; rows with equal texts join the result at the end. One of ``threshold + 1`` even
+    segments of the indexed text must stand in the other, near its own place: the multi-match-aware window of that place bounds
+    where. Texts of equal length or shorter are indexed. Where common segments would meet more often than there are pairs of
+    like length, those pairs are compared outright.
     """
     cols, t = cols or [c for c in a.columns if c != id], int(threshold)
-    whole = lambda df: df.select(F.col(id).alias("id"), F.array_join(tokenize(tokenizer, *cols), " ").alias("text") if tokenizer else F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("text")).withColumn("length", F.length("text"))
-    x = materialize(whole(a), "texts")
-    y = materialize(whole(b), "texts") if b is not None else x
+    whole = lambda df: df.select(F.col(id).alias("id"), F.array_join(tokenize(tokenizer, *cols), " ").alias("text") if tokenizer else F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("text"))
+    rows_x = materialize(whole(a), "texts")
+    rows_y = materialize(whole(b), "texts") if b is not None else rows_x
+    sided = rows_x.select("text", F.lit(0).alias("side"))
+    if b is not None:
+        sided = sided.unionByName(rows_y.select("text", F.lit(1).alias("side")))
+    every = materialize(_without_common_ends(sided.distinct()), "distinct")
+    x = every.filter("side = 0").drop("side")
+    y = every.filter("side = 1").drop("side") if b is not None else x
+    of_length = lambda d: {r["length"]: r["count"] for r in d.groupBy("length").count().collect()}  # noqa: E731  as many as there are lengths
+    long_x = of_length(x)
+    long_y = of_length(y) if b is not None else long_x
+    all_pairs = sum(n * long_y.get(k + d, 0) for k, n in long_x.items() for d in range(-t, t + 1)) // (1 if b is not None else 2)
 
     def index(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "length", F.explode(segments(F.col("text"), F.col("length"), t)).alias("s")).select(F.col("id").alias("id_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
+        return rows.select("text", "length", F.explode(segments(F.col("core"), F.col("length"), t)).alias("s")).select(F.col("text").alias("text_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
 
     def probe(rows: DataFrame, below: int, above: int) -> DataFrame:
         """Substrings that could be a segment of an indexed text at most ``below`` shorter or ``above`` longer."""
@@ -227,24 +259,41 @@ def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[
                 lo = F.greatest(F.lit(0), start - nr, start + gap - (F.lit(t) - nr))
                 hi = F.least(F.col("length") - size, start + nr, start + gap + (F.lit(t) - nr))
                 at = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-                return F.transform(at, lambda i: F.struct(other.alias("length_i"), nr.alias("nr"), F.substring(F.col("text"), i + 1, size).alias("segment")))
+                return F.transform(at, lambda i: F.struct(other.alias("length_i"), nr.alias("nr"), F.substring(F.col("core"), i + 1, size).alias("segment")))
 
             return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(t)), of))
 
         lengths = F.filter(F.sequence(F.col("length") - below, F.col("length") + above), lambda i: i >= 0)
-        each = rows.select("id", "length", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("s"))
-        return each.select(F.col("id").alias("id_p"), F.col("length").alias("length_p"), "s.length_i", "s.nr", "s.segment")
-
-    if b is None:
-        met = index(x).join(probe(x, t, 0), ["nr", "segment", "length_i"]).filter("id_i <> id_p AND (length_i < length_p OR id_i < id_p)")
-        pairs = met.select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"))
+        each = rows.select("text", "length", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("s"))
+        return each.select(F.col("text").alias("text_p"), F.col("length").alias("length_p"), "s.length_i", "s.nr", "s.segment")
+
+    place = ["nr", "segment", "length_i"]
+    indexed, probed = index(x), probe(y, t, 0 if b is None else t)
+    meets = all_pairs
+    if all_pairs > _FEW_PAIRS:
+        often = indexed.groupBy(place).agg(F.count("*").alias("n")).join(probed.groupBy(place).agg(F.count("*").alias("m")), place)
+        meets = often.agg(F.sum(F.col("n") * F.col("m")).cast("double")).first()[0] or 0
+    if meets < all_pairs:
+        met = indexed.join(probed, place)
+        if b is None:
+            met = met.filter("text_i <> text_p AND (length_i < length_p OR text_i < text_p)")
+        cores = lambda d, s: d.select(F.col("text").alias(f"text_{s}"), F.col("core").alias(f"core_{s}"))
+        both = met.select("text_i", "text_p").distinct().join(cores(x, "i"), "text_i").join(cores(y, "p"), "text_p")
     else:
-        met = index(x).join(probe(y, t, t), ["nr", "segment", "length_i"]).filter("id_i <> id_p")
-        pairs = met.select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"))
-    texts = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-    both = pairs.distinct().join(texts(x, "a"), "id_a").join(texts(y, "b"), "id_b")
-    near = both.withColumn("sim", F.levenshtein("text_a", "text_b", t)).filter("sim >= 0")
-    return near.select("id_a", "id_b", F.col("sim").cast("double").alias("sim"))
+        side = lambda d, s, n: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("text", "core", "length")]).repartition(n)
+        parts = int(max(1, min(16, all_pairs // 200_000)))
+        both = side(x, "i", parts).crossJoin(side(y, "p", parts)).filter(F.abs(F.col("length_i") - F.col("length_p")) <= t)
+        if b is None:
+            both = both.filter("text_i < text_p")
+    near = both.withColumn("sim", F.levenshtein("core_i", "core_p", t)).filter("sim >= 0").select("text_i", "text_p", F.col("sim").cast("double").alias("sim"))
+    if b is None:
+        near = near.unionByName(x.select(F.col("text").alias("text_i"), F.col("text").alias("text_p"), F.lit(0.0).alias("sim")))
+    near = materialize(near, "near")
+    own = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
+    out = near.join(own(rows_x, "i"), "text_i").join(own(rows_y, "p"), "text_p")
+    if b is None:
+        return out.filter("text_i <> text_p AND id_i <> id_p OR id_i < id_p").select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"), "sim")
+    return out.filter("id_i <> id_p").select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"), "sim")
 
 
 def join(a: DataFrame, b: DataFrame | None = None, similarity_name: str = "jaccard", **options) -> DataFrame:
