@@ -119,3 +119,43 @@ def test_edit_join_of_texts_with_common_ends(spark, monkeypatch, few):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = {(r.id_a, r.id_b, r.sim) for r in simjoin.edit(df, id="id", cols=["t"], threshold=1).collect()}
     assert got == {(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (0, 5, 1.0), (0, 6, 1.0), (2, 3, 1.0), (2, 5, 1.0), (2, 6, 0.0), (3, 5, 1.0), (3, 6, 1.0), (5, 6, 1.0)}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("name", ["jaccard", "overlap"])
+def test_prefix_join_over_many_blocks(spark, monkeypatch, name, weighted):
+    """Blocks of a few rows, one and two tables: the pairs of the naive join, and a scratch folder not much above the bags."""
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(blocks, "TOGETHER", 2)
+    r = random.Random(5)
+    bags = [[r.choice("abcdefghij") for _ in range(r.randint(0, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)], "id long, t string")
+    options = {"id": "id", "cols": ["t"], "similarity_name": name, "threshold": 0.6 if name == "jaccard" else 2.5, "weighted": weighted}
+    got = lambda d: {(x.id_a, x.id_b): round(x.sim, 9) for x in d.collect()}
+    assert got(simjoin.prefix(df, **options)) == got(simjoin.naive(df, **options)) != {}
+    part = df.where("id % 3 = 0")
+    if not weighted:
+        assert got(simjoin.prefix(part, df, **options)) == got(simjoin.naive(part, df, **options))
+
+
+def test_prefix_join_writes_no_candidates(spark, tmp_path):
+    """300 rows of 30 words that all share 8 rare ones: 44,850 candidates by prefix before, none written now."""
+    from tidemark.operators import blocks
+
+    rows = [(i, " ".join([f"x{k}" for k in range(8)] + [f"own{i}_{k}" for k in range(22)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    written, materialize = {}, blocks.materialize
+
+    def spy(d, tag):
+        out = materialize(d, tag)
+        written[tag] = out.count()
+        return out
+
+    blocks.materialize = spy
+    try:
+        assert simjoin.prefix(df, id="id", cols=["t"], threshold=0.7).count() == 0
+    finally:
+        blocks.materialize = materialize
+    assert written == {"pairs": 0}

@@ -11,11 +11,11 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import bag_weight, edit_distance, intersection_weight, metric, similarity
 from ..functions.tokens import Tokenizer, tokenize, word
 from ..plans.scratch import materialize
+from . import blocks
 
 
 def token_weights(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -56,140 +56,19 @@ def naive(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list
     return met.withColumn("sim", value).filter(m.matches(F.col("sim"), threshold)).select("id_a", "id_b", "sim")
 
 
-#: Entries that make up one key of short rows, and most entries of the prefix that such keys are made of.
-SHARED, SHORT_PREFIX = 3, 8
-#: Bits of an entry's number below the length of its document frequency.
-_BITS = 57
-
-
-def _vocabulary(counted: DataFrame, cell_rows: int = 20_000) -> DataFrame:
-    """(token, nth, rows, code) of the entries of ``counted`` (id, kept, token, n): how many kept rows have the token ``nth``
-    times at least, and a number of the entry's own.
-
-    A code is the length of the token's document frequency in bits, then the frequency, then a serial number within that
-    length; so the frequency, and the weight, can be read from it. Serials are given cell by cell.
-    """
-    frequency = counted.groupBy("token").agg(F.count("*").alias("df"))
-    each = counted.filter("kept").select("token", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
-    raw = materialize(each.groupBy("token", "nth").agg(F.count("*").alias("rows")).join(frequency, "token").withColumn("size", F.length(F.bin("df")).cast("long")), "entries")
-    cells = max(16, raw.count() // cell_rows)
-    celled = raw.withColumn("cell", F.pmod(F.xxhash64("token", "nth"), F.lit(cells)))
-    counts = materialize(celled.groupBy("size", "cell").agg(F.count("*").alias("m")), "cells")
-    before = Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("size", "cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("size", "cell").orderBy("token", "nth")) - 1
-    placed = celled.withColumn("rank", rank).join(starts, ["size", "cell"]).withColumn("serial", F.col("start") + F.col("rank"))
-    shift = lambda x, n: F.call_function("shiftleft", x, n.cast("int"))
-    room = F.lit(_BITS) - F.col("size")
-    code = shift(shift(F.col("size"), F.col("size")) + F.col("df"), room) + F.col("serial")
-    full = F.raise_error(F.lit("more entries of one frequency than numbers")).cast("long")
-    return materialize(placed.select("token", "nth", "rows", F.when(F.col("serial") < shift(F.lit(1).cast("long"), room), code).otherwise(full).alias("code")), "vocabulary")
-
-
-def _code_weight(code: Column, rows: float) -> Column:
-    """The weight of an entry's token: log10 of all rows over those with it."""
-    size = F.shiftright(code, _BITS)
-    df = F.call_function("shiftright", code, (F.lit(_BITS) - size).cast("int")) - F.call_function("shiftleft", size, size.cast("int"))
-    return F.log10(F.lit(rows) / df)
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """(id, kept, token, n): each row's tokens and how often it has them."""
-    return rows.select("id", "kept", F.explode("tokens").alias("token")).groupBy("id", "kept", "token").agg(F.count("*").alias("n"))
-
-
 def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, similarity_name: str = "jaccard", threshold: float = 0.5, weighted: bool = False, min_size: int = 0) -> DataFrame:
-    """Pairs that share an entry of both prefixes and match.
+    """Pairs of rows whose bags match, and of rows of equal token lists that weigh enough for it.
 
-    An entry is a token with how often it occurred before; its rarity is the number of rows that have it, so a late
-    occurrence of a common word is rare. A row's entries, as numbers, stand rarest first; its prefix is what is left when as
-    many as possible of the most common are cut without the rest's weight reaching what a match needs. Rows of equal token
-    lists match outright. A pair without a common token is never found, whatever the threshold.
-
-    Nothing is collected: candidates come from an equi-join of prefixes. The entries that a pair shares there, and the
-    weight of what follows the last of them, bound the pair's overlap; only pairs whose bound is enough meet with their whole
-    bags, arrays of numbers.
+    Bags are compared block by block (``blocks``), so disk holds them once and no candidates. A pair without a common token is
+    never found, whatever the threshold.
     """
     cols, tokenizer, m = cols or [c for c in a.columns if c != id], tokenizer or word(), metric(similarity_name)
-    x = _tokenized(a, id, cols, tokenizer, min_size)
-    counted = materialize(_counted(x), "counted")
-    n_rows = float(a.count()) if weighted else 1.0
-    vocabulary = _vocabulary(counted)
-    weight = (lambda code: _code_weight(code, n_rows)) if weighted else (lambda code: F.lit(1.0))
-
-    def bags(rows: DataFrame, counted: DataFrame, foreign: bool) -> DataFrame:
-        """(id, bag, total, known, same): entries rarest first, weight of all tokens and of those in the vocabulary."""
-        each = counted.filter("kept").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        met = each.join(vocabulary, ["token", "nth"], "left" if foreign else "inner")
-        own = F.coalesce(weight(F.col("code")), F.lit(0.0)) if weighted else F.lit(1.0)
-        if foreign and weighted:  # an occurrence too many for the vocabulary still weighs what its token does
-            far = vocabulary.filter("nth = 1").select("token", weight(F.col("code")).alias("w"))
-            met, own = met.join(far, "token", "left"), F.coalesce("w", F.lit(0.0))
-        known = F.when(F.col("code").isNotNull(), own).otherwise(0.0)
-        listed = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("rows", "code"))))
-        grouped = met.groupBy("id").agg(listed["code"].alias("bag"), F.sum(own).alias("total"), F.sum(known).alias("known"))
-        same = rows.filter("kept").select("id", F.md5(F.array_join("tokens", "\x1f")).alias("same"))
-        return materialize(grouped.join(same, "id"), "bags")
-
-    def prefixes(rows: DataFrame) -> DataFrame:
-        """(id, code, total, known, after, beyond): weight up to and with the entry, and of what the prefix leaves out."""
-        least = m.least(threshold, F.col("total")) - F.lit(1e-9)
-        if not weighted:
-            size = F.least(F.greatest(F.floor(F.col("known") - least) + 1, F.lit(0)), F.col("known")).cast("int")
-        else:
-            begin = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("cut"))
-            tail = F.aggregate(F.reverse("bag"), begin, lambda s, c: F.struct((s["s"] + weight(c)).alias("s"), (s["cut"] + F.when(s["s"] + weight(c) < least, 1).otherwise(0)).alias("cut")))
-            size = F.size("bag") - tail["cut"]
-        cut = rows.withColumn("size", size).select("id", "total", "known", "size", F.posexplode(F.slice("bag", F.lit(1), F.col("size"))).alias("at", "code"))
-        if not weighted:
-            return cut.select("id", "code", "total", "known", (F.col("at") + 1).cast("double").alias("after"), (F.col("known") - F.col("size")).alias("beyond"))
-        whole = Window.partitionBy("id")
-        running = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        own = weight(F.col("code"))
-        return cut.select("id", "code", "total", "known", F.sum(own).over(running).alias("after"), (F.col("known") - F.sum(own).over(whole)).alias("beyond"))
-
-    # Two sets with ``SHARED`` entries or more in common share as many in prefixes longer by SHARED - 1. Rows that must, and are
-    # short enough for it, meet others by such combinations; pairs of other rows by single entries.
-    share = {"jaccard": threshold - 1e-6, "dice": threshold / (2.0 - threshold), "cosine": threshold**2}.get(m.name, 0.0) if not weighted else 0.0
-    limit = min(64, int(share * (SHORT_PREFIX - SHARED) / (1 - share))) if 0 < share < 1 else 0
-    must = F.ceil(m.least(threshold, F.col("total")) - F.lit(1e-9))
-    short = (F.col("total") <= limit) & (must >= SHARED)
-
-    def combinations(rows: DataFrame) -> DataFrame:
-        """(id, key, total, known, short) of the rows that are short or may match one that is."""
-        size = (F.col("known") - F.greatest(must, F.lit(SHARED)) + SHARED).cast("int")
-        near = rows.filter((F.col("total") * F.lit(share) <= limit + 1e-6) & (F.col("known") >= SHARED)).withColumn("size", F.least(size, F.size("bag"))).filter(F.col("size") >= SHARED)
-        upto = lambda first, last: F.sequence(first, F.col("size") - F.lit(last))
-        entry = lambda i: F.get("bag", i)
-        triples = F.flatten(F.transform(upto(F.lit(0), 3), lambda i: F.flatten(F.transform(upto(i + 1, 2), lambda j: F.transform(upto(j + 1, 1), lambda k: F.struct(entry(i).alias("x"), entry(j).alias("y"), entry(k).alias("z")))))))
-        return near.select("id", "total", "known", short.alias("short"), F.explode(triples).alias("key")).select("id", "total", "known", "short", "key.*")
-
-    bags_a = bags(x, counted, False)
-    pa = prefixes(bags_a.filter(~short))
+    bags = lambda df: df.select(F.col(id).alias("id"), tokenize(tokenizer, *cols).alias("tokens"))
+    met = blocks.compare(bags(a), bags(b) if b is not None else None, m.name, float(threshold), weighted, min_size)
+    near = met.withColumn("sim", m.value(F.col("met"), F.col("total_x"), F.col("total_y"))).filter(m.matches(F.col("sim"), threshold) | F.col("same")).filter("id_x <> id_y")
     if b is None:
-        pb, bags_b, order = pa, bags_a, F.col("id_a") < F.col("id_b")
-    else:
-        y = _tokenized(b, id, cols, tokenizer, min_size)
-        bags_b, order = bags(y, _counted(y), True), F.col("id_a") != F.col("id_b")
-        pb = prefixes(bags_b.filter(~short))
-    kept = ("total", "known", "after", "beyond")
-    named = lambda d, s: d.select("code", *[F.col(c).alias(f"{c}_{s}") for c in ("id", *kept)])
-    needed = m.needed(threshold, F.col("total_a"), F.col("total_b")) - F.lit(1e-6)
-    met = named(pa, "a").join(named(pb, "b"), "code").filter(order).filter(F.least("known_a", "known_b") >= needed)
-    widest = [F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in kept for s in "ab"]
-    # what both have beyond the entries they share here comes after the last of them in both, and after the end of a prefix
-    rest = F.least(F.col("known_a") - F.col("after_a"), F.col("known_b") - F.col("after_b"), F.greatest("beyond_a", "beyond_b"))
-    pairs = met.groupBy("id_a", "id_b").agg(F.sum(weight(F.col("code"))).alias("met"), *widest).filter(F.col("met") + rest >= needed).select("id_a", "id_b")
-    if limit:
-        of = lambda d, s: combinations(d).select("x", "y", "z", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "total", "known", "short")])
-        few = of(bags_a, "a").join(of(bags_b, "b"), ["x", "y", "z"]).filter(order).filter((F.col("short_a") | F.col("short_b")) & (F.least("known_a", "known_b") >= needed))
-        pairs = pairs.unionByName(few.select("id_a", "id_b").distinct())
-    side = lambda d, s: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "bag", "total", "same")])
-    both = materialize(pairs, "candidates").join(side(bags_a, "a"), "id_a").join(side(bags_b, "b"), "id_b")
-    common = F.array_intersect("bag_a", "bag_b")
-    shared = F.aggregate(common, F.lit(0.0), lambda s, c: s + weight(c)) if weighted else F.size(common).cast("double")
-    sims = both.withColumn("sim", m.value(shared, F.col("total_a"), F.col("total_b")))
-    return sims.filter(m.matches(F.col("sim"), threshold) | (F.col("same_a") == F.col("same_b"))).select("id_a", "id_b", "sim")
+        return near.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "sim")
+    return near.select(F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"), "sim")
 
 
 def segments(text: Column, length: Column, limit: int) -> Column:
