@@ -121,29 +121,15 @@ class _Block:
         if bits not in self._maps:
             self._maps.clear()
             rows = len(self.total)
-            flips = np.zeros(rows * bits, np.uint8)
-            owner, nth = np.repeat(np.arange(rows), self.length), 0
-            left = np.arange(len(self.h))
-            while len(left):  # the entries of one occurrence after the other
-                entry = mix64(self.h[left], nth)
-                times = np.ones(len(left), np.int64) if self.w is None else np.floor(self.w[left]).astype(np.int64)
-                for k in range(int(times.max(initial=0))):
-                    some = times > k
-                    at = owner[left[some]] * bits + (mix64(entry[some], k + 1) % np.uint64(bits)).astype(np.int64)
-                    flips ^= (np.bincount(at, minlength=len(flips)) & 1).astype(np.uint8) if len(at) * 8 > len(flips) else _odd(at, flips)
-                nth += 1
-                left = left[self.n[left] > nth]
+            times = self.n if self.w is None else self.n * np.floor(self.w).astype(np.int64)
+            each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # of a token's flips
+            place = mix64(np.repeat(self.h, times) + mix64(each)) % np.uint64(bits)
+            at = np.repeat(np.arange(rows) * bits, np.add.reduceat(times, self.starts[:-1])) + place.astype(np.int64)
+            flips = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8)
             self._maps[bits] = np.ascontiguousarray(np.packbits(flips.reshape(rows, bits), axis=1).view(np.uint64).T)
         return self._maps[bits]
 
 
-def _odd(at: np.ndarray, like: np.ndarray) -> np.ndarray:
-    key, n = np.unique(at, return_counts=True)
-    out = np.zeros_like(like)
-    out[key[n % 2 == 1]] = 1
-    return out
-
-
 def _met(x: _Block, i: int, y: _Block, js: np.ndarray) -> np.ndarray:
     """Weight that the bag ``i`` of ``x`` shares with each of ``js`` of ``y``."""
     s, e = x.starts[i], x.starts[i + 1]
@@ -207,7 +193,12 @@ def _compare(x_path: str, y_path: str, name: str, t: float):
                 xs = {k: _Block(f"{x_path}/block={k}") for k in task["xs"]}
                 bits = _bits(list(xs.values()), name)
                 for k in task["ys"]:
-                    y = xs[k] if x_path == y_path and k in xs else _Block(f"{y_path}/block={k}")
+                    if k not in xs or x_path != y_path:
+                        y = _Block(f"{y_path}/block={k}")
+                    else:
+                        y = xs[k]
+                    if name == "overlap":  # a long bag may match a short one
+                        bits = _bits([*xs.values(), y], name)
                     for n, x in xs.items():
                         if x_path == y_path and n > k:
                             continue
