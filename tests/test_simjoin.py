@@ -159,3 +159,49 @@ def test_prefix_join_writes_no_candidates(spark, tmp_path):
     finally:
         blocks.materialize = materialize
     assert written == {"pairs": 0}
+
+
+@pytest.mark.parametrize("name", ["jaccard", "dice", "cosine"])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_prefix_join_meets_few_pairs_before_comparing(spark, name, weighted):
+    """400 rows that share 20 frequent words of 60 and lie in one block: hardly a pair meets in first parts, none of the 40 matches is lost."""
+    from tidemark.operators import blocks
+
+    r = random.Random(2)
+    common = [f"c{k}" for k in range(24)]
+    texts = [" ".join(r.sample(common, 20) + [f"w{r.randrange(4000)}" for _ in range(40)]) for _ in range(360)]
+    texts += [t.rsplit(" ", 1)[0] + " new" for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    rows = df.select("id", tokens.word()(df.t).alias("tokens"))
+    sample, one_in = blocks._sample(rows, 400.0)
+    hashed = rows.selectExpr("transform(tokens, x -> xxhash64(x)) AS h")
+    path, found = blocks._written(rows, blocks._frequencies(hashed, 2) if weighted else None, 400.0, 1.0, blocks._frequent(sample), sample, one_in, 0)
+    assert len(found) == 1
+    x = blocks._Block(f"{path}/block={found[0][0]}", name, 0.8, 400.0)
+    cut = x.cut(blocks.least(name, 0.8, x.total), name)
+    assert len(blocks._meetings(x, x, cut, cut)[0]) < 0.25 * 400 * 399 / 2
+    assert sum(len(i) for i, *_ in blocks._pairs(x, x, name, 0.8)) == 40
+    got = {(p.id_a, p.id_b) for p in simjoin.prefix(df, id="id", cols=["t"], similarity_name=name, threshold=0.8, weighted=weighted).collect()}
+    assert got == {(i, 360 + i) for i in range(40)}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_join_of_a_part_with_its_table_writes_bags_once(spark, monkeypatch, weighted):
+    from tidemark.operators import blocks
+
+    calls, written = [], blocks._written
+    monkeypatch.setattr(blocks, "_written", lambda *a: calls.append(1) or written(*a))
+    r = random.Random(9)
+    full = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9)))) for i in range(80)] + [(80, None)], "id long, t string")
+    part = full.where("id % 3 = 0")
+    options = {"id": "id", "cols": ["t"], "threshold": 0.6, "weighted": weighted}
+    got = lambda d: {(x.id_a, x.id_b) for x in d.collect()}
+    texts = {x.id: x.t for x in full.collect()}
+    once = simjoin.prefix(part, full, **options)
+    assert len(calls) == 1
+    changed = full.where("id <> 0").union(spark.createDataFrame([(0, "other words")], "id long, t string"))
+    assert got(once) - got(simjoin.prefix(part, changed, **options)) == {p for p in got(once) if p[1] == 0}
+    assert len(calls) == 3
+    if not weighted:
+        assert got(once) == got(simjoin.naive(part, full, **options))
+    assert all(texts[i] and texts[j] for i, j in got(once))

@@ -1,17 +1,20 @@
 """Similarity joins of bags, block against block: no pair leaves a task before it is known to match.
 
-A row's bag is its tokens' 64-bit hashes, sorted, with how often the row has them. Bags are written once, in blocks of rows of
-like size; a task reads a block and those whose sizes let them match. There a bitmap rules out nearly all pairs: each entry
-(token and how often it occurred before) flips one bit, so two bitmaps differ in no more bits than the bags in entries. If
-tokens weigh, an entry of weight w flips floor(w) bits, no more than its weight. What is left is compared bag by bag.
-
-The number of pairs of blocks grows with the square of the rows; disk does not. Two tokens of one hash count as equal: for
-16 million compared pairs of bags of 400 tokens the chance of any such is below 1e-6.
+A row's bag is its tokens' 64-bit hashes with how often the row has them, rare tokens first: those that a sample of rows does
+not name as frequent in order of their hashes, the others by rising frequency. Bags are written once, in blocks of rows of like
+size; a task reads a block and those whose sizes let them match. Two bags that match share tokens before the point from
+which the rest of a bag weighs less than the overlap it needs, and these first parts grow shorter with the weights of the rows
+met. So first parts are joined, weights met there summed up, and pairs whose sum leaves too much to the rest are ruled out; the
+others are compared bag by bag. The order steers the cost alone. An overlap of a fixed weight leaves hardly anything out: there whole bags are joined.
+
+The number of pairs of blocks grows with the square of the rows; disk does not. Two tokens of one hash count as equal: hashes have
+63 bits, so for 16 million compared pairs of bags of 400 tokens the chance of any such is below 1e-6.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, new_path, shuffles_removed
 from ..plans.ship import ship
-from ..plans.workers import give_back, mix64, open_fs
+from ..plans.workers import give_back, open_fs
 
-#: A block's rows and tokens at most, about; blocks that a task holds; rows of a block that meet another at once; frequencies read at once.
-BLOCK_ROWS, BLOCK_TOKENS, TOGETHER, STRIP, PIECE = 2048, 1_500_000, 4, 16, 500_000
+#: A block's rows and tokens at most, about; blocks that a task holds; frequencies read at once; meetings of tokens at once.
+BLOCK_ROWS, BLOCK_TOKENS, TOGETHER, PIECE, MEETINGS = 4096, 2_000_000, 4, 500_000, 4_000_000
+#: Rows sampled to order tokens and to cut blocks, frequent tokens told apart; share of a bag by which first parts are longer than they need be, which rules out more pairs.
+ORDER_ROWS, FREQUENT, LONGER = 8_000, 1 << 16, 0.04
 
 
 def needed(name: str, t: float, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -34,6 +39,11 @@ def needed(name: str, t: float, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return {"jaccard": lambda: s / (1 + s) * (p + q), "dice": lambda: t / 2 * (p + q), "cosine": lambda: t * np.sqrt(p * q), "overlap": lambda: t + 0 * (p + q)}[name]() - 1e-6
 
 
+def least(name: str, t: float, p: np.ndarray) -> np.ndarray:
+    """Overlap that a bag of weight ``p`` needs with any other, less its slack."""
+    return {"jaccard": lambda: (t - 1e-6) * p, "dice": lambda: t / (2 - t) * p, "cosine": lambda: t * t * p, "overlap": lambda: t + 0 * p}[name]() - 1e-6
+
+
 def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
     fs, at = open_fs(path)
     return fs, sorted(x.path for x in fs.get_file_info(pafs.FileSelector(at)) if x.base_name.endswith(".parquet"))
@@ -45,8 +55,38 @@ def _frequencies(rows: DataFrame, least: int) -> str:
     return materialize(counted.filter(F.col("df") >= least), "frequencies")._scratch_path
 
 
-def _weights(path: str, h: np.ndarray, rows: float, others: float) -> np.ndarray:
-    """Weight of each token of ``h`` (sorted, distinct); one that no file names is in ``others`` rows."""
+def _sample(rows: DataFrame, n_rows: float) -> tuple[DataFrame, int]:
+    """(h) of one row in so many, of about ORDER_ROWS in all. It orders tokens and cuts blocks, which steers the cost alone."""
+    one_in = int(max(1, n_rows // ORDER_ROWS))
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+    return some.select(F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), one_in
+
+
+def _frequent(sample: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent tokens of a sample, the rarest first; a bounded number."""
+    counted = sample.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT)
+    return counted.select("h").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
+
+
+def _coder(frequent: np.ndarray):
+    """Hashes to codes in the order of bags."""
+    place = np.argsort(frequent)
+    known = frequent[place]
+    top = np.uint64(1) << np.uint64(63)
+
+    def code(h: np.ndarray) -> np.ndarray:
+        out = h >> np.uint64(1)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            out[hit] = top | place[at[hit]].astype(np.uint64)
+        return out
+
+    return code
+
+
+def _rows_with(path: str, h: np.ndarray, others: float) -> np.ndarray:
+    """In how many rows each token of ``h`` (sorted, distinct) stands; one that no file names is in ``others``."""
     df = np.full(len(h), others)
     fs, names = _files(path)
     for name in names:
@@ -58,196 +98,240 @@ def _weights(path: str, h: np.ndarray, rows: float, others: float) -> np.ndarray
             at = np.minimum(np.searchsorted(key, h), len(key) - 1)
             hit = key[at] == h
             df[hit] = n[at[hit]]
-    return np.log10(rows / df)
+    return df
 
 
-def _bags(paths: str | None, n_rows: float, others: float):
-    """Batches (id, same, block, h) to bags (id, same, block, total, tokens, times, weights); h holds a token as often as the row."""
+def _bags(paths: str | None, n_rows: float, others: float, frequent: np.ndarray, places: np.ndarray):
+    """Batches (id, share, h) to bags (id, same, block, total, tokens, times, dfs); h holds a token as often as the row. ``places`` has
+    sizes, where their rows begin in the line of blocks, and how much of it they take; ``share`` in [0, 1) spreads rows of a size."""
 
-    def many(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {"h": [], "n": []}
+    def many(tables: list[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
+        kept, same = [], []
         for x in tables:
-            lists = x.column(3)
-            flat, cuts = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            lists = x.column(2)
+            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            cuts = cuts - cuts[0]
+            codes = code(flat)
             for s, e in zip(cuts, cuts[1:], strict=False):
-                h, n = np.unique(flat[s:e], return_counts=True)
-                out["h"].append(h)
-                out["n"].append(n.astype(np.uint32))
-        w = [None] * len(out["h"])
+                c, first, n = np.unique(codes[s:e], return_index=True, return_counts=True)
+                kept.append((c, n.astype(np.uint32), flat[s:e][first] if paths else None))
+                same.append(blake2b(flat[s:e].tobytes(), digest_size=16).digest())
+        dfs: list[np.ndarray | None] = [None] * len(kept)
         if paths:
-            every = np.unique(np.concatenate(out["h"]))
-            value = _weights(paths, every, n_rows, others)
-            w = [value[np.searchsorted(every, h)] for h in out["h"]]
-        total = [float(n.sum() if v is None else (n * v).sum()) for n, v in zip(out["n"], w, strict=True)]
+            every = np.unique(np.concatenate([h for _, _, h in kept]))
+            df = _rows_with(paths, every, others).astype(np.uint32)
+            dfs = [df[np.searchsorted(every, h)] for _, _, h in kept]
+        total = [float(n.sum() if d is None else (n * np.log10(n_rows / d)).sum()) for (_, n, _), d in zip(kept, dfs, strict=True)]
+        raw = lambda arrays: pa.array([None if a is None else a.tobytes() for a in arrays], pa.binary())
         k = 0
         for x in tables:
             part = slice(k, k := k + x.num_rows)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(total[part]), pa.array([a.tobytes() for a in out["h"][part]], pa.binary()), pa.array([a.tobytes() for a in out["n"][part]], pa.binary()), pa.array([None if v is None else v.astype(np.float64).tobytes() for v in w[part]], pa.binary())], names=["id", "same", "block", "total", "tokens", "times", "weights"])
+            size = np.diff(x.column(2).offsets.to_numpy())
+            at = np.maximum(np.searchsorted(places[0], size, "right") - 1, 0)
+            block = pa.array((places[1][at] + x.column(1).to_numpy() * places[2][at]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(same[part], pa.binary()), block, pa.array(total[part]), raw(c for c, _, _ in kept[part]), raw(n for _, n, _ in kept[part]), raw(dfs[part])], names=["id", "same", "block", "total", "tokens", "times", "dfs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        code, held, size = _coder(frequent), [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                size += len(batch.column(3).values)
-                if size > 2 * BLOCK_TOKENS:
-                    yield from many(held)
+                size += len(batch.column(2).values)
+                if size > BLOCK_TOKENS:
+                    yield from many(held, code)
                     held, size = [], 0
         if held:
-            yield from many(held)
+            yield from many(held, code)
         give_back()
 
     return run
 
 
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of a column of binary strings, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 class _Block:
-    """A block's bags, by weight."""
+    """A block's bags by weight, and their first parts by token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, name: str, t: float, n_rows: float):
         fs, names = _files(path)
-        t = pa.concat_tables(pq.read_table(fs.open_input_file(n)) for n in names).combine_chunks()
-        t = t.take(np.argsort(t["total"].to_numpy(), kind="stable"))
-        self.id, self.total, self.same = t["id"].combine_chunks(), t["total"].to_numpy(), t["same"].to_pylist()
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in t[c].to_pylist()]
-        h, n = read("tokens", np.uint64), read("times", np.uint32)
-        self.length = np.array([len(x) for x in h])
+        table = pa.concat_tables(pq.read_table(fs.open_input_file(n)) for n in names).combine_chunks()
+        table = table.take(np.argsort(table["total"].to_numpy(), kind="stable"))
+        self.id, self.total = table["id"].combine_chunks(), table["total"].to_numpy()
+        self.same = _flat(table["same"], np.uint64).reshape(-1, 2)
+        self.code, self.n = _flat(table["tokens"], np.uint64), _flat(table["times"], np.uint32).astype(np.float64)
+        self.w = None if table["dfs"].null_count else np.log10(n_rows / _flat(table["dfs"], np.uint32))
+        self.length = np.array([len(x) // 8 for x in table["tokens"].to_pylist()])
         self.starts = np.concatenate([[0], np.cumsum(self.length)])
-        self.h, self.n = np.concatenate(h), np.concatenate(n).astype(np.int64)
-        self.w = None if t["weights"].null_count else np.concatenate(read("weights", np.float64))
-        self._maps: dict[int, np.ndarray] = {}
-
-    def bitmaps(self, bits: int) -> np.ndarray:
-        """Words by rows."""
-        if bits not in self._maps:
-            self._maps.clear()
-            rows = len(self.total)
-            times = self.n if self.w is None else self.n * np.floor(self.w).astype(np.int64)
-            each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # of a token's flips
-            place = mix64(np.repeat(self.h, times) + mix64(each)) % np.uint64(bits)
-            at = np.repeat(np.arange(rows) * bits, np.add.reduceat(times, self.starts[:-1])) + place.astype(np.int64)
-            flips = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8)
-            self._maps[bits] = np.ascontiguousarray(np.packbits(flips.reshape(rows, bits), axis=1).view(np.uint64).T)
-        return self._maps[bits]
+        mass = self.n if self.w is None else self.n * self.w
+        row = np.repeat(np.arange(len(self.total), dtype=np.int32), self.length)
+        upto = np.cumsum(mass)
+        rest = upto[self.starts[1:] - 1][row] - upto + mass  # of the bag from this token on
+        first = np.flatnonzero(rest >= self.cut(least(name, t, self.total), name)[row])
+        self.at = first[np.argsort(self.code[first])]
+        self.first_code, self.first_row, self.first_rest = self.code[self.at], row[self.at], rest[self.at]
+
+    def cut(self, need: np.ndarray, name: str) -> np.ndarray:
+        """A token belongs to the first part if the bag weighs so much from there on, and ``need`` is the overlap that the bag needs."""
+        return np.full(len(need), -np.inf) if name == "overlap" else need - LONGER * self.total
+
+    def first(self, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where each token of the first parts begins and ends in the rest; rows; places in the bags."""
+        keep = np.flatnonzero(self.first_rest >= cut[self.first_row])
+        code = self.first_code[keep]
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        return code[begin], begin, np.diff(np.concatenate([begin, [len(code)]])), self.first_row[keep], self.at[keep]
 
 
 def _met(x: _Block, i: int, y: _Block, js: np.ndarray) -> np.ndarray:
     """Weight that the bag ``i`` of ``x`` shares with each of ``js`` of ``y``."""
     s, e = x.starts[i], x.starts[i + 1]
     at = np.concatenate([np.arange(y.starts[j], y.starts[j + 1]) for j in js])
-    place = np.minimum(np.searchsorted(x.h[s:e], y.h[at]), e - s - 1)
-    hit = x.h[s:e][place] == y.h[at]
+    place = np.minimum(np.searchsorted(x.code[s:e], y.code[at]), e - s - 1)
+    hit = x.code[s:e][place] == y.code[at]
     shared = np.where(hit, np.minimum(x.n[s:e][place], y.n[at]), 0)
     if x.w is not None:
         shared = shared * x.w[s:e][place]
-    return np.add.reduceat(shared, np.concatenate([[0], np.cumsum(y.length[js])[:-1]])).astype(np.float64)
-
-
-def _bits(blocks: list[_Block], name: str) -> int:
-    """Bits that tell bags of these blocks' weights apart; a low bound of overlap needs finer bitmaps."""
-    top = max(1.0, *(x.total[-1] for x in blocks))
-    return min(1 << 15, 64 * int(np.ceil(top * (8 if name == "overlap" else 1.0) / 64)))
-
-
-def _pairs(x: _Block, y: _Block, bits: int, name: str, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of x, rows of y, weight shared) of pairs that may match; within a block each pair once."""
-    a, b = x.bitmaps(bits), y.bitmaps(bits)
-    for s in range(0, len(x.total), STRIP):
-        p, q = x.total[s : s + STRIP, None], y.total[None, :]
-        need = needed(name, t, p, q)
-        ok = need <= np.minimum(p, q)
-        if x is y:
-            ok &= np.arange(s, s + len(p))[:, None] < np.arange(len(y.total))[None, :]
-        cols = np.flatnonzero(ok.any(axis=0))
-        if not len(cols):
+    return np.add.reduceat(shared, np.concatenate([[0], np.cumsum(y.length[js])[:-1]]))
+
+
+def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x times rows of y plus row of y, weight met in the first parts) of the pairs that share a token there."""
+    code_x, begin_x, count_x, row_x, at_x = x.first(cut_x)
+    code_y, begin_y, count_y, row_y, at_y = y.first(cut_y)
+    if not len(code_x) or not len(code_y):
+        return np.zeros(0, np.int64), np.zeros(0)
+    place = np.minimum(np.searchsorted(code_y, code_x), len(code_y) - 1)
+    both = np.flatnonzero(code_y[place] == code_x)
+    bx, cx, by, cy = begin_x[both], count_x[both], begin_y[place[both]], count_y[place[both]]
+    upto = np.cumsum(cx * cy)
+    cells = len(x.total) * len(y.total)
+    dense = len(upto) > 0 and upto[-1] > cells // 8
+    keys, values = [], []
+    out = np.zeros(cells) if dense else None
+    ends = np.unique(np.searchsorted(upto, np.arange(MEETINGS, upto[-1], MEETINGS)) + 1) if len(upto) else []
+    for part in np.split(np.arange(len(both)), ends):
+        if not len(part):
             continue
-        lo, hi = cols[0], cols[-1] + 1
-        shape = (len(p), hi - lo)
-        differ, flips, count, three = np.zeros(shape, np.uint16), np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.zeros(shape, np.uint8)
-        for k, (u, v) in enumerate(zip(a, b, strict=True)):
-            np.bitwise_xor(u[s : s + STRIP, None], v[None, lo:hi], out=flips)
-            three += np.bitwise_count(flips, out=count)
-            if k % 3 == 2 or k == len(a) - 1:  # as many as a byte holds
-                differ += three
-                three[:] = 0
-        ok[:, lo:hi] &= differ <= (p + q - 2 * need)[:, lo:hi]
-        for i in np.flatnonzero(ok.any(axis=1)):
-            every = np.flatnonzero(ok[i])
-            for js in np.array_split(every, len(every) // 256 + 1):
-                met = _met(x, s + i, y, js)
-                keep = (met > 0) & (met >= need[i, js]) | np.array([x.same[s + i] == y.same[j] for j in js])
-                if keep.any():
-                    yield np.full(keep.sum(), s + i), js[keep], met[keep]
-
-
-def _compare(x_path: str, y_path: str, name: str, t: float):
+        c, d = cx[part], cy[part]
+        left = np.arange(c.sum()) + np.repeat(bx[part] - np.cumsum(c) + c, c)
+        times = np.repeat(d, c)
+        right = np.arange(times.sum()) + np.repeat(np.repeat(by[part], c) - np.cumsum(times) + times, times)
+        left = np.repeat(left, times)
+        i, j = row_x[left].astype(np.int64), row_y[right]
+        if x is y:
+            once = np.flatnonzero(i < j)
+            left, right, i, j = left[once], right[once], i[once], j[once]
+        value = np.minimum(x.n[at_x[left]], y.n[at_y[right]])
+        if x.w is not None:
+            value *= x.w[at_x[left]]
+        if dense:
+            out += np.bincount(i * len(y.total) + j, value, cells)
+        else:
+            keys.append(i * len(y.total) + j)
+            values.append(value)
+    if dense:
+        found = out > 0
+        if x.total[0] <= 0 and y.total[0] <= 0:  # bags that weigh nothing meet without weight
+            found.reshape(len(x.total), -1)[np.ix_(x.total <= 0, y.total <= 0)] = True
+            if x is y:
+                found &= np.triu(np.ones((len(x.total), len(x.total)), bool), 1).ravel()
+        key = np.flatnonzero(found)
+        return key, out[key]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0)
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[begin], np.add.reduceat(value[order], begin) if len(key) else np.zeros(0)
+
+
+def _pairs(x: _Block, y: _Block, name: str, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y, weight shared, equal lists) of pairs that may match; within a block each pair once."""
+
+    def cuts(a: _Block, b: _Block) -> np.ndarray:
+        need = np.maximum(needed(name, t, a.total, b.total[0]), least(name, t, a.total))
+        return np.where(need <= a.total, a.cut(need, name), np.inf)
+
+    cut_x, cut_y = cuts(x, y), cuts(y, x)
+    key, met = _meetings(x, y, cut_x, cut_y)
+    i, j = key // len(y.total), key % len(y.total)
+    p, q = x.total[i], y.total[j]
+    need = needed(name, t, p, q)
+    same = (x.same[i] == y.same[j]).all(axis=1)
+    whole = name == "overlap"  # then all that is shared has been met
+    ok = np.flatnonzero((need <= np.minimum(p, q)) & (same | (met >= need) if whole else met >= need - np.maximum(cut_x[i], cut_y[j]) - 1e-6))
+    i, j, need, same, met = i[ok], j[ok], need[ok], same[ok], met[ok]
+    if not whole and len(i):
+        ends = np.flatnonzero(i[1:] != i[:-1]) + 1
+        parts = [js for some in np.split(np.arange(len(i)), ends) for js in np.array_split(some, len(some) // 256 + 1)]
+        met = np.concatenate([_met(x, i[some[0]], y, j[some]) for some in parts])
+    keep = np.flatnonzero((met > 0) & (met >= need) | same)
+    for some in np.array_split(keep, len(keep) // 200_000 + 1):
+        if len(some):
+            yield i[some], j[some], met[some], same[some]
+
+
+def _compare(x_path: str, y_path: str, name: str, t: float, n_rows: float):
     """Tasks (xs, ys: blocks) to (id_x, id_y, total_x, total_y, met, same); within one table a pair of blocks is compared once."""
 
-    def rows(x: _Block, y: _Block, found: list) -> pa.RecordBatch:
-        i, j, met = (np.concatenate(c) for c in zip(*found, strict=True))
-        same = pa.array([x.same[g] == y.same[h] for g, h in zip(i, j, strict=True)])
-        return pa.RecordBatch.from_arrays([x.id.take(pa.array(i)), y.id.take(pa.array(j)), pa.array(x.total[i]), pa.array(y.total[j]), pa.array(met), same], names=["id_x", "id_y", "total_x", "total_y", "met", "same"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for task in batch.to_pylist():
-                xs = {k: _Block(f"{x_path}/block={k}") for k in task["xs"]}
-                bits = _bits(list(xs.values()), name)
+                xs = {k: _Block(f"{x_path}/block={k}", name, t, n_rows) for k in task["xs"]}
                 for k in task["ys"]:
-                    if k not in xs or x_path != y_path:
-                        y = _Block(f"{y_path}/block={k}")
-                    else:
-                        y = xs[k]
-                    if name == "overlap":  # a long bag may match a short one
-                        bits = _bits([*xs.values(), y], name)
+                    y = xs[k] if k in xs and x_path == y_path else _Block(f"{y_path}/block={k}", name, t, n_rows)
                     for n, x in xs.items():
                         if x_path == y_path and n > k:
                             continue
-                        found: list = []
-                        for some in _pairs(x, y, bits, name, t):
-                            found.append(some)
-                            if len(found) == 256:
-                                yield rows(x, y, found)
-                                found = []
-                        if found:
-                            yield rows(x, y, found)
+                        for i, j, met, same in _pairs(x, y, name, t):
+                            yield pa.RecordBatch.from_arrays([x.id.take(pa.array(i)), y.id.take(pa.array(j)), pa.array(x.total[i]), pa.array(y.total[j]), pa.array(met), pa.array(same)], names=["id_x", "id_y", "total_x", "total_y", "met", "same"])
         give_back()
 
     return run
 
 
-def _written(rows: DataFrame, paths: str | None, n_rows: float, others: float, least_size: int) -> tuple[str, list]:
+def _written(rows: DataFrame, paths: str | None, n_rows: float, others: float, frequent: np.ndarray, sample: DataFrame, one_in: int, least_size: int) -> tuple[str, list]:
     """Folder of the bags in blocks, and (block, low, high) of each. ``rows`` is (id, tokens)."""
     spark = rows.sparkSession
-    sizes = rows.filter(F.size("tokens") >= max(1, least_size)).groupBy(F.size("tokens").alias("size")).count().orderBy("size").collect()  # as many as there are sizes
-    starts, at = [], 0.0
+    least_size = max(1, least_size)
+    sizes = sample.groupBy(F.size("h").alias("size")).count().filter(F.col("size") >= least_size).orderBy("size").collect()  # as many as there are sizes
+    starts, at = [(least_size, 0.0, 0.0)], 0.0
     for r in sizes:
-        each = max(1 / BLOCK_ROWS, r["size"] / BLOCK_TOKENS)
-        starts.append((r["size"], at, r["count"] * each))
-        at += r["count"] * each
-    known = F.broadcast(spark.createDataFrame(starts, "size int, start double, span double"))
-    hashed = rows.select("id", F.unhex(F.md5(F.array_join("tokens", "\x1f"))).alias("same"), F.size("tokens").alias("size"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")).join(known, "size")
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    placed = hashed.select("id", "same", F.floor(F.col("start") + share * F.col("span")).cast("int").alias("block"), "h")
+        span = r["count"] * one_in * max(1 / BLOCK_ROWS, r["size"] / BLOCK_TOKENS)
+        starts.append((r["size"], at, span))
+        at += span
+    hashed = rows.filter(F.size("tokens") >= least_size).select("id", (F.pmod(F.xxhash64("id", F.lit("block")), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("share"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
     kind = dict(rows.dtypes)["id"]
-    bags = placed.mapInArrow(_bags(paths, n_rows, others), f"id {kind}, same binary, block int, total double, tokens binary, times binary, weights binary")
+    bags = hashed.mapInArrow(_bags(paths, n_rows, others, frequent, np.array(starts).T), f"id {kind}, same binary, block int, total double, tokens binary, times binary, dfs binary")
     path = new_path(spark, "blocks")
     with shuffles_removed(spark):
         bags.repartition(max(1, int(at) + 1), "block").write.partitionBy("block").parquet(path)
-    if not sizes:
+    fs, folder = open_fs(path)
+    if all(x.type != pafs.FileType.Directory for x in fs.get_file_info(pafs.FileSelector(folder))):
         return path, []
     found = spark.read.parquet(path).groupBy("block").agg(F.min("total").alias("low"), F.max("total").alias("high")).orderBy("block").collect()  # one of each block
     return path, [(r["block"], r["low"], r["high"]) for r in found]
 
 
-def compare(a: DataFrame, b: DataFrame | None, name: str, t: float, weighted: bool, min_size: int) -> DataFrame:
-    """(id_x, id_y, total_x, total_y, met, same) of the pairs of rows (id, tokens) that may match; rows of ``a`` are x if there is a ``b``."""
+def compare(a: DataFrame, b: DataFrame | None, name: str, t: float, weighted: bool, min_size: int, weigh: DataFrame | None = None) -> DataFrame:
+    """(id_x, id_y, total_x, total_y, met, same) of the pairs of rows (id, tokens) that may match; rows of ``a`` are x if there is a ``b``.
+
+    Tokens weigh as in ``weigh``, if it is given, else as in ``a``.
+    """
     spark = a.sparkSession
     ship(spark)
-    n_rows = float(a.count()) if weighted else 1.0
-    paths = _frequencies(a.select(F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), 2 if b is None else 1) if weighted else None
+    base = a if weigh is None else weigh
+    n_rows = float(base.count())
+    sample, one_in = _sample(a, n_rows if weigh is None else float(a.count()))
+    frequent = _frequent(sample)
+    paths = _frequencies(base.select(F.transform("tokens", lambda x: F.xxhash64(x)).alias("h")), 2 if base is a and b is None else 1) if weighted else None
     least_size = max(min_size, int(np.ceil(t)) if name == "overlap" and not weighted else 0)
-    x_path, xs = _written(a, paths, n_rows, 1.0, least_size)
-    y_path, ys = _written(b, paths, n_rows, n_rows, least_size) if b is not None else (x_path, xs)  # a token that ``a`` has not weighs nothing
+    x_path, xs = _written(a, paths, n_rows, 1.0 if base is a else n_rows, frequent, sample, one_in, least_size)
+    y_path, ys = _written(b, paths, n_rows, n_rows, frequent, *_sample(b, float(b.count())), least_size) if b is not None else (x_path, xs)  # a token that ``base`` has not weighs nothing
 
     def may(p: tuple, q: tuple) -> bool:
         low, high = (p, q) if p[2] <= q[2] else (q, p)
@@ -264,4 +348,4 @@ def compare(a: DataFrame, b: DataFrame | None, name: str, t: float, weighted: bo
     if not tasks:
         return spark.createDataFrame([], schema)
     todo = spark.createDataFrame(tasks, "xs array<int>, ys array<int>").repartition(min(len(tasks), 2000))
-    return materialize(todo.mapInArrow(_compare(x_path, y_path, name, t), schema), "pairs")
+    return materialize(todo.mapInArrow(_compare(x_path, y_path, name, t, n_rows), schema), "pairs")

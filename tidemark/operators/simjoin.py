@@ -12,9 +12,9 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bag_weight, edit_distance, intersection_weight, metric, similarity
+from ..functions.similarity import Metric, bag_weight, edit_distance, intersection_weight, metric, similarity
 from ..functions.tokens import Tokenizer, tokenize, word
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, shuffles_removed
 from . import blocks
 
 
@@ -64,6 +64,8 @@ def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: lis
     """
     cols, tokenizer, m = cols or [c for c in a.columns if c != id], tokenizer or word(), metric(similarity_name)
     bags = lambda df: df.select(F.col(id).alias("id"), tokenize(tokenizer, *cols).alias("tokens"))
+    if b is not None and _rows_of(a, b, id, cols):
+        return _both_ways(a, b, id, blocks.compare(bags(b), None, m.name, float(threshold), weighted, min_size, bags(a)), m, threshold)
     met = blocks.compare(bags(a), bags(b) if b is not None else None, m.name, float(threshold), weighted, min_size)
     near = met.withColumn("sim", m.value(F.col("met"), F.col("total_x"), F.col("total_y"))).filter(m.matches(F.col("sim"), threshold) | F.col("same")).filter("id_x <> id_y")
     if b is None:
@@ -71,6 +73,25 @@ def prefix(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: lis
     return near.select(F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"), "sim")
 
 
+def _rows_of(a: DataFrame, b: DataFrame, id: str, cols: list[str]) -> bool:
+    """Whether each row of ``a`` is one of ``b``, and ids are unique; rows are told by two 64-bit hashes of what is joined."""
+    parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    keys = lambda df, side: df.select(F.col(id).alias("id"), F.xxhash64(*parts).alias("k"), F.xxhash64(F.lit("k"), *parts).alias("l"), F.lit(side).alias("side"))
+    if any(dict(a.dtypes)[c] != dict(b.dtypes)[c] for c in (id, *cols)):
+        return False
+    by_id = keys(a, 0).unionByName(keys(b, 1)).groupBy("id").agg(*[F.count(F.when(F.col("side") == k, 1)).alias(f"n{k}") for k in (0, 1)], F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("l").alias("l0"), F.max("l").alias("l1"))
+    odd = by_id.filter("id IS NULL OR n0 > 1 OR n1 <> 1 OR n0 = 1 AND (k0 <> k1 OR l0 <> l1)")
+    with shuffles_removed(a.sparkSession):
+        return odd.isEmpty()
+
+
+def _both_ways(a: DataFrame, b: DataFrame, id: str, met: DataFrame, m: Metric, threshold: float) -> DataFrame:
+    """Pairs within ``b``, both ways, of which the first is a row of ``a``: what a join of ``a`` with ``b`` gives, with bags written and compared once."""
+    near = met.withColumn("sim", m.value(F.col("met"), F.col("total_x"), F.col("total_y"))).filter(m.matches(F.col("sim"), threshold) | F.col("same"))
+    way = lambda p, q: near.select(F.col(f"id_{p}").alias("id_a"), F.col(f"id_{q}").alias("id_b"), "sim")
+    return way("x", "y").unionByName(way("y", "x")).join(a.select(F.col(id).alias("id_a")), "id_a", "left_semi")
+
+
 def segments(text: Column, length: Column, limit: int) -> Column:
     """Array of (nr, start, segment) of the ``limit + 1`` even pieces of a text of ``length``; the last are longer."""
     n = limit + 1
