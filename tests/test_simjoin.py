@@ -205,3 +205,38 @@ def test_join_of_a_part_with_its_table_writes_bags_once(spark, monkeypatch, weig
     if not weighted:
         assert got(once) == got(simjoin.naive(part, full, **options))
     assert all(texts[i] and texts[j] for i, j in got(once))
+
+
+def test_splits_take_off_what_leads_cost():
+    """Supplier# and Customer# lie 5 edits apart, so of 6 what follows has one left; leads that cost nothing change nothing."""
+    assert simjoin._splits("Supplier#", "Customer#", 6) == [(9, 8, 0), (9, 9, 1), (9, 10, 0)]
+    assert simjoin._splits("", "ab", 2) == [(0, 0, 2)]
+    assert simjoin._splits("Supplier#", "Customer#", 4) == []
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choices("ab", k=r.randint(0, n)))
+    for _ in range(3000):
+        p, q, limit = word(4), word(4), r.randint(0, 4)
+        x, y = p + word(4), q + word(4)
+        if distance(x, y) <= limit:
+            assert any(k <= len(y) and distance(x[n:], y[k:]) <= left for n, k, left in simjoin._splits(p, q, limit))
+
+
+def test_edit_join_of_tables_with_leads(spark, monkeypatch):
+    """500 by 500 names whose leads use up the limit: no more rows meet than match."""
+    monkeypatch.setattr(simjoin, "_FEW_PAIRS", 0)
+    a = spark.range(500).selectExpr("id", "concat('Supplier#', lpad(id * 3, 9, '0')) AS name")
+    b = spark.range(500).selectExpr("id + 500 AS id", "concat('Customer#', lpad(id * 2, 9, '0')) AS name")
+    got = {(x.id_a, x.id_b, x.sim) for x in simjoin.edit(a, b, id="id", cols=["name"], threshold=5).collect()}
+    assert got == {(2 * i, 500 + 3 * i, 5.0) for i in range(167)}
+    close = {(x.id_a, x.id_b) for x in simjoin.edit(a, b, id="id", cols=["name"], threshold=6).collect()}
+    want = {(x.id_a, x.id_b) for x in a.selectExpr("id AS id_a", "name AS p").crossJoin(b.selectExpr("id AS id_b", "name AS q")).where("levenshtein(p, q) <= 6").collect()}
+    assert close == want > {p[:2] for p in got}

@@ -100,28 +100,47 @@ def segments(text: Column, length: Column, limit: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.struct(i.alias("nr"), F.substring(text, at(i) + 1, at(i + 1) - at(i)).alias("segment")))
 
 
-def _without_common_ends(texts: DataFrame) -> DataFrame:
-    """Adds ``core``: the text without what all texts begin with and end in, which adds no edits to any pair."""
-
-    def common(c: Column) -> int:
-        ends = texts.agg(F.min(c).alias("low"), F.max(c).alias("high")).first()
-        return len(os.path.commonprefix([ends["low"] or "", ends["high"] or ""]))
-
-    core = F.col("text")
-    core = F.substring(core, common(core) + 1, _LONGEST)
-    turned = F.reverse(core)
-    return texts.withColumn("core", F.reverse(F.substring(turned, common(turned) + 1, _LONGEST))).withColumn("length", F.length("core"))
+def _lead(texts: DataFrame, c: Column) -> str:
+    """What all texts begin with."""
+    ends = texts.agg(F.min(c).alias("low"), F.max(c).alias("high")).first()
+    return os.path.commonprefix([ends["low"] or "", ends["high"] or ""])
+
+
+def _without_common_ends(texts: DataFrame):
+    """From the column of a text to it without what all texts begin with and end in, which adds no edits to any pair."""
+    lead = len(_lead(texts, F.col("text")))
+    inner = lambda c: F.substring(c, lead + 1, _LONGEST)
+    tail = len(_lead(texts, F.reverse(inner(F.col("text")))))
+    return lambda c: F.reverse(F.substring(F.reverse(inner(c)), tail + 1, _LONGEST))
+
+
+def _splits(lead_x: str, lead_y: str, limit: int) -> list[tuple[int, int, int]]:
+    """(from, from, edits): of two texts that begin with ``lead_x`` and ``lead_y`` and lie within ``limit`` edits, for one of these
+    what follows after so many characters lies within so many edits. What the lead costs at least is taken off; a
+    character that follows ``lead_y`` counts as any."""
+    row = list(range(len(lead_x) + 1))  # edits from the beginnings of lead_x to k characters
+    out = [(len(lead_x), 0, limit - row[-1])]
+    for k in range(1, len(lead_x) + limit + 1):
+        last, row = row, [k]
+        for i, c in enumerate(lead_x, 1):
+            row.append(min(last[i - 1] + (k <= len(lead_y) and c != lead_y[k - 1]), last[i] + 1, row[i - 1] + 1))
+        out.append((len(lead_x), k, limit - row[-1]))
+    out = [x for x in out if x[2] >= 0]
+    return out if all(r < limit for _, _, r in out) else [(0, 0, limit)]
 
 
 _LONGEST = (1 << 31) - 1
 #: Up to so many pairs of like length are compared without counting how often segments meet.
 _FEW_PAIRS = 20_000_000
+#: Texts are told apart by what their beginnings cost if that takes no more joins than so many.
+_MOST_JOINS = 12
 
 
 def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, threshold: int = 1) -> DataFrame:
     """Pairs whose token texts (tokens joined by blanks) lie within ``threshold`` edits.
 
-    Different texts are compared, each once; rows with equal texts join the result at the end. One of ``threshold + 1`` even
+    Different texts are compared, each once; rows with equal texts join the result at the end. What all texts of a table begin
+    with is compared with the other table's, and its edits are taken off the limit (``_splits``). One of ``threshold + 1`` even
     segments of the indexed text must stand in the other, near its own place: the multi-match-aware window of that place bounds
     where. Texts of equal length or shorter are indexed. Where common segments would meet more often than there are pairs of
     like length, those pairs are compared outright.
@@ -133,16 +152,45 @@ def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[
     sided = rows_x.select("text", F.lit(0).alias("side"))
     if b is not None:
         sided = sided.unionByName(rows_y.select("text", F.lit(1).alias("side")))
-    every = materialize(_without_common_ends(sided.distinct()), "distinct")
+    core = _without_common_ends(sided)
+    every = materialize(sided.select(core(F.col("text")).alias("core"), "side").distinct(), "distinct")
     x = every.filter("side = 0").drop("side")
     y = every.filter("side = 1").drop("side") if b is not None else x
+    lead = _lead(x, F.col("core")) if b is not None else ""
+    splits = _splits(lead, _lead(y, F.col("core")), t) if b is not None else [(0, 0, t)]
+    apart = splits != [(0, 0, t)] and sum(left + 1 for *_, left in splits) <= _MOST_JOINS
+    near = None
+    for from_x, from_y, most in splits:
+        rest = lambda d, n: d.filter(F.length("core") >= n).select("core", F.substring("core", n + 1, _LONGEST).alias("part"), (F.length("core") - n).alias("length"))
+        for left in range(most + 1) if apart else [most]:  # a text's own beginning may cost more than the least
+            some = rest(y, from_y).filter(F.levenshtein(F.substring("core", 1, from_y), F.lit(lead)) == t - left) if apart else rest(y, from_y) if b is not None else None
+            met = _near(rest(x, from_x), some, left, t)
+            near = met if near is None else near.unionByName(met).distinct()
+    if near is None:
+        near = x.select(F.col("core").alias("core_i"), F.col("core").alias("core_p"), F.lit(0.0).alias("sim")).limit(0)
+    if b is None:
+        near = near.unionByName(x.select(F.col("core").alias("core_i"), F.col("core").alias("core_p"), F.lit(0.0).alias("sim")))
+    near = materialize(near, "near")
+    own = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), core(F.col("text")).alias(f"core_{s}"))
+    out = near.join(own(rows_x, "i"), "core_i").join(own(rows_y, "p"), "core_p")
+    if b is None:
+        return out.filter("core_i <> core_p AND id_i <> id_p OR id_i < id_p").select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"), "sim")
+    return out.filter("id_i <> id_p").select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"), "sim")
+
+
+def _near(x: DataFrame, y: DataFrame | None, t: int, limit: int) -> DataFrame:
+    """(core_i, core_p, sim) of rows (core, part, length) whose cores lie within ``limit`` edits, of those whose parts lie within ``t``."""
+    both_tables = y is not None
+    y = y if both_tables else x
     of_length = lambda d: {r["length"]: r["count"] for r in d.groupBy("length").count().collect()}  # noqa: E731  as many as there are lengths
     long_x = of_length(x)
-    long_y = of_length(y) if b is not None else long_x
-    all_pairs = sum(n * long_y.get(k + d, 0) for k, n in long_x.items() for d in range(-t, t + 1)) // (1 if b is not None else 2)
+    long_y = of_length(y) if both_tables else long_x
+    all_pairs = sum(n * long_y.get(k + d, 0) for k, n in long_x.items() for d in range(-t, t + 1)) // (1 if both_tables else 2)
+    if not all_pairs:  # nothing of like length
+        return x.select(F.col("core").alias("core_i"), F.col("core").alias("core_p"), F.lit(0.0).alias("sim")).limit(0)
 
     def index(rows: DataFrame) -> DataFrame:
-        return rows.select("text", "length", F.explode(segments(F.col("core"), F.col("length"), t)).alias("s")).select(F.col("text").alias("text_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
+        return rows.select("core", "length", F.explode(segments(F.col("part"), F.col("length"), t)).alias("s")).select(F.col("core").alias("core_i"), F.col("length").alias("length_i"), F.col("s.nr").alias("nr"), F.col("s.segment").alias("segment"))
 
     def probe(rows: DataFrame, below: int, above: int) -> DataFrame:
         """Substrings that could be a segment of an indexed text at most ``below`` shorter or ``above`` longer."""
@@ -159,41 +207,32 @@ def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[
                 lo = F.greatest(F.lit(0), start - nr, start + gap - (F.lit(t) - nr))
                 hi = F.least(F.col("length") - size, start + nr, start + gap + (F.lit(t) - nr))
                 at = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-                return F.transform(at, lambda i: F.struct(other.alias("length_i"), nr.alias("nr"), F.substring(F.col("core"), i + 1, size).alias("segment")))
+                return F.transform(at, lambda i: F.struct(other.alias("length_i"), nr.alias("nr"), F.substring(F.col("part"), i + 1, size).alias("segment")))
 
             return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(t)), of))
 
         lengths = F.filter(F.sequence(F.col("length") - below, F.col("length") + above), lambda i: i >= 0)
-        each = rows.select("text", "length", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("s"))
-        return each.select(F.col("text").alias("text_p"), F.col("length").alias("length_p"), "s.length_i", "s.nr", "s.segment")
+        each = rows.select("core", "length", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("s"))
+        return each.select(F.col("core").alias("core_p"), F.col("length").alias("length_p"), "s.length_i", "s.nr", "s.segment")
 
     place = ["nr", "segment", "length_i"]
-    indexed, probed = index(x), probe(y, t, 0 if b is None else t)
+    indexed, probed = index(x), probe(y, t, t if both_tables else 0)
     meets = all_pairs
     if all_pairs > _FEW_PAIRS:
         often = indexed.groupBy(place).agg(F.count("*").alias("n")).join(probed.groupBy(place).agg(F.count("*").alias("m")), place)
         meets = often.agg(F.sum(F.col("n") * F.col("m")).cast("double")).first()[0] or 0
-    if meets < all_pairs:
-        met = indexed.join(probed, place)
-        if b is None:
-            met = met.filter("text_i <> text_p AND (length_i < length_p OR text_i < text_p)")
-        cores = lambda d, s: d.select(F.col("text").alias(f"text_{s}"), F.col("core").alias(f"core_{s}"))
-        both = met.select("text_i", "text_p").distinct().join(cores(x, "i"), "text_i").join(cores(y, "p"), "text_p")
-    else:
-        side = lambda d, s, n: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("text", "core", "length")]).repartition(n)
+    outright = meets >= all_pairs
+    if outright:
+        side = lambda d, s, n: d.select(F.col("core").alias(f"core_{s}"), F.col("length").alias(f"length_{s}")).repartition(n)
         parts = int(max(1, min(16, all_pairs // 200_000)))
         both = side(x, "i", parts).crossJoin(side(y, "p", parts)).filter(F.abs(F.col("length_i") - F.col("length_p")) <= t)
-        if b is None:
-            both = both.filter("text_i < text_p")
-    near = both.withColumn("sim", F.levenshtein("core_i", "core_p", t)).filter("sim >= 0").select("text_i", "text_p", F.col("sim").cast("double").alias("sim"))
-    if b is None:
-        near = near.unionByName(x.select(F.col("text").alias("text_i"), F.col("text").alias("text_p"), F.lit(0.0).alias("sim")))
-    near = materialize(near, "near")
-    own = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-    out = near.join(own(rows_x, "i"), "text_i").join(own(rows_y, "p"), "text_p")
-    if b is None:
-        return out.filter("text_i <> text_p AND id_i <> id_p OR id_i < id_p").select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"), "sim")
-    return out.filter("id_i <> id_p").select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"), "sim")
+    else:
+        both = indexed.join(probed, place)
+    if not both_tables:
+        both = both.filter("core_i < core_p" if outright else "core_i <> core_p AND (length_i < length_p OR core_i < core_p)")
+    # checked where they meet: a pair that is no match is written nowhere
+    near = both.withColumn("sim", F.levenshtein("core_i", "core_p", limit)).filter("sim >= 0").select("core_i", "core_p", F.col("sim").cast("double").alias("sim"))
+    return near if outright else near.distinct()
 
 
 def join(a: DataFrame, b: DataFrame | None = None, similarity_name: str = "jaccard", **options) -> DataFrame:
