@@ -1,7 +1,9 @@
 """Join fixtures: 100 random rows and 100 derived ones, so that exactly 100 pairs reach a known similarity."""
 
+import math
 import random
 import string
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -240,3 +242,33 @@ def test_edit_join_of_tables_with_leads(spark, monkeypatch):
     close = {(x.id_a, x.id_b) for x in simjoin.edit(a, b, id="id", cols=["name"], threshold=6).collect()}
     want = {(x.id_a, x.id_b) for x in a.selectExpr("id AS id_a", "name AS p").crossJoin(b.selectExpr("id AS id_b", "name AS q")).where("levenshtein(p, q) <= 6").collect()}
     assert close == want > {p[:2] for p in got}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_overlap_multiplies_what_many_rows_have(spark, monkeypatch, weighted):
+    """300 rows of 30 frequent words, up to 40 times each: hardly a meeting of two rows is listed, all sums are exact, also above the times told apart."""
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "TIMES", 16)
+    monkeypatch.setattr(blocks, "COLUMNS", 50)
+    r = random.Random(7)
+    texts = [" ".join(w for k in range(30) for w in [f"c{k}"] * (r.randint(0, 3) if r.random() < 0.97 else 40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    rows = df.select("id", tokens.word()(df.t).alias("tokens"))
+    sample, one_in = blocks._sample(rows, 300.0)
+    paths = blocks._frequencies(rows.selectExpr("transform(tokens, x -> xxhash64(x)) AS h"), 2) if weighted else None
+    path, found = blocks._written(rows, paths, 300.0, 1.0, blocks._frequent(sample), sample, one_in, 0)
+    x = blocks._Block(f"{path}/block={found[0][0]}", "overlap", 1.0, 300.0)
+    listed, bincount = [], blocks.np.bincount
+    monkeypatch.setattr(blocks.np, "bincount", lambda a, w=None, n=0, **o: listed.append(len(a) if w is not None else 0) or bincount(a, w, n, **o) if w is not None else bincount(a, **{"minlength": n, **o}))
+    t = 4.0 if weighted else 50.0
+    got = sum(len(i) for i, *_ in blocks._pairs(x, x, "overlap", t))
+    assert sum(listed) < 0.1 * 300 * 299 / 2 * 30
+    monkeypatch.undo()
+    bags = [Counter(x.split()) for x in texts]
+    df_of = Counter(w for b in bags for w in b)
+    weight = {w: math.log10(300 / n) if weighted else 1.0 for w, n in df_of.items()}
+    shared = {(i, j): sum(min(n, bags[j][w]) * weight[w] for w, n in bags[i].items()) for i in range(300) for j in range(i + 1, 300)}
+    want = {k: pytest.approx(v) for k, v in shared.items() if v >= t}
+    assert 100 < got == len(want) < 44_000
+    assert {(p.id_a, p.id_b): p.sim for p in simjoin.prefix(df, id="id", cols=["t"], similarity_name="overlap", threshold=t, weighted=weighted).collect()} == want

@@ -5,7 +5,8 @@ not name as frequent in order of their hashes, the others by rising frequency. B
 size; a task reads a block and those whose sizes let them match. Two bags that match share tokens before the point from
 which the rest of a bag weighs less than the overlap it needs, and these first parts grow shorter with the weights of the rows
 met. So first parts are joined, weights met there summed up, and pairs whose sum leaves too much to the rest are ruled out; the
-others are compared bag by bag. The order steers the cost alone. An overlap of a fixed weight leaves hardly anything out: there whole bags are joined.
+others are compared bag by bag. The order steers the cost alone. An overlap of a fixed weight leaves hardly anything out: there whole bags
+are joined, and what rows share of tokens that many of them have is a product of matrices.
 
 The number of pairs of blocks grows with the square of the rows; disk does not. Two tokens of one hash count as equal: hashes have
 63 bits, so for 16 million compared pairs of bags of 400 tokens the chance of any such is below 1e-6.
@@ -31,6 +32,8 @@ from ..plans.workers import give_back, open_fs
 BLOCK_ROWS, BLOCK_TOKENS, TOGETHER, PIECE, MEETINGS = 4096, 2_000_000, 4, 500_000, 4_000_000
 #: Rows sampled to order tokens and to cut blocks, frequent tokens told apart; share of a bag by which first parts are longer than they need be, which rules out more pairs.
 ORDER_ROWS, FREQUENT, LONGER = 8_000, 1 << 16, 0.04
+#: From this share of two blocks' pairs on, those that meet by a token are multiplied, not listed; times a row has a token told apart there, columns at once.
+MULTIPLIED, TIMES, COLUMNS = 0.001, 512, 1024
 
 
 def needed(name: str, t: float, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -197,8 +200,64 @@ def _met(x: _Block, i: int, y: _Block, js: np.ndarray) -> np.ndarray:
     return np.add.reduceat(shared, np.concatenate([[0], np.cumsum(y.length[js])[:-1]]))
 
 
-def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of x times rows of y plus row of y, weight met in the first parts) of the pairs that share a token there."""
+def _multiplied(x: _Block, y: _Block, out: np.ndarray, code: tuple[np.ndarray, ...], at_x: np.ndarray, at_y: np.ndarray, row_x: np.ndarray, row_y: np.ndarray) -> np.ndarray:
+    """Adds to ``out`` what pairs share of tokens (begin and count in x, in y) that many rows have; how often each row's token counted.
+
+    The lesser of two numbers is the count of k that neither falls below: a column for each k that so many pairs reach."""
+    bx, cx, by, cy = code
+    sx, sy = int(row_x.min()), int(row_y.min())  # by weight, so the rows that may match are the last
+    shape = len(x.total) - sx, len(y.total) - sy
+    enough = MULTIPLIED * shape[0] * shape[1]
+    upto = np.zeros(len(bx), np.int64)
+    many = np.flatnonzero(cx * cy >= enough)
+    if not len(many):
+        return upto
+
+    def entries(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens' entries, and of their tokens."""
+        return np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count), np.repeat(np.arange(len(count)), count)
+
+    def reached(a: _Block, at: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows that have each token k times at least, for each k from 1."""
+        place, token = entries(begin, count)
+        times = np.minimum(a.n[at[place]], most).astype(np.int64)
+        found = np.bincount(token * most + times - 1, minlength=len(count) * most).reshape(-1, most)
+        return np.cumsum(found[:, ::-1], axis=1)[:, ::-1]
+
+    most = int(min(TIMES, x.n[at_x].max(), y.n[at_y].max()))
+    for some in np.array_split(many, len(many) * most // MEETINGS + 1):
+        upto[some] = (reached(x, at_x, bx[some], cx[some]) * reached(y, at_y, by[some], cy[some]) >= enough).sum(axis=1)
+    columns = np.cumsum(upto[many])
+    part = out.reshape(len(x.total), -1)[sx:, sy:]
+    for some in np.split(many, np.unique(np.searchsorted(columns, np.arange(COLUMNS, columns[-1], COLUMNS)))):
+        if not len(some):
+            continue
+        first = np.cumsum(upto[some]) - upto[some]
+
+        def matrix(a: _Block, at: np.ndarray, begin: np.ndarray, count: np.ndarray, row: np.ndarray, start: int, weight: np.ndarray | None) -> np.ndarray:
+            place, token = entries(begin, count)  # noqa: B023
+            times = np.minimum(a.n[at[place]], upto[some][token]).astype(np.int64)  # noqa: B023
+            column = np.arange(times.sum()) + np.repeat(first[token] - np.cumsum(times) + times, times)  # noqa: B023
+            held = np.zeros((len(a.total) - start, int(upto[some].sum())))  # noqa: B023
+            held[np.repeat(row[place] - start, times), column] = 1.0 if weight is None else np.repeat(weight[at[place]], times)
+            return held
+
+        part += matrix(x, at_x, bx[some], cx[some], row_x, sx, x.w) @ matrix(y, at_y, by[some], cy[some], row_y, sy, None).T
+    return upto
+
+
+def _beyond(a: _Block, row: np.ndarray, at: np.ndarray, begin: np.ndarray, count: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of tokens' entries those that a row has more than ``upto`` times: begin and count of each token, rows, places in the bags."""
+    place = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+    token = np.repeat(np.arange(len(count)), count)
+    more = a.n[at[place]] > upto[token]
+    left = np.bincount(token[more], minlength=len(count))
+    return np.cumsum(left) - left, left, row[place[more]], at[place[more]]
+
+
+def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray, least_met: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x times rows of y plus row of y, weight met in the first parts) of the pairs that share a token there; with
+    ``least_met`` first parts are whole bags, and only pairs that share about so much matter."""
     code_x, begin_x, count_x, row_x, at_x = x.first(cut_x)
     code_y, begin_y, count_y, row_y, at_y = y.first(cut_y)
     if not len(code_x) or not len(code_y):
@@ -206,11 +265,16 @@ def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray) -> tup
     place = np.minimum(np.searchsorted(code_y, code_x), len(code_y) - 1)
     both = np.flatnonzero(code_y[place] == code_x)
     bx, cx, by, cy = begin_x[both], count_x[both], begin_y[place[both]], count_y[place[both]]
-    upto = np.cumsum(cx * cy)
     cells = len(x.total) * len(y.total)
-    dense = len(upto) > 0 and upto[-1] > cells // 8
-    keys, values = [], []
+    dense = len(both) > 0 and int((cx * cy).sum()) > cells // 8
     out = np.zeros(cells) if dense else None
+    beyond = np.zeros(len(both), np.int64)
+    if dense and least_met is not None:
+        beyond = _multiplied(x, y, out, (bx, cx, by, cy), at_x, at_y, row_x, row_y)
+        bx, cx, row_x, at_x = _beyond(x, row_x, at_x, bx, cx, beyond)
+        by, cy, row_y, at_y = _beyond(y, row_y, at_y, by, cy, beyond)
+    upto = np.cumsum(cx * cy)
+    keys, values = [], []
     ends = np.unique(np.searchsorted(upto, np.arange(MEETINGS, upto[-1], MEETINGS)) + 1) if len(upto) else []
     for part in np.split(np.arange(len(both)), ends):
         if not len(part):
@@ -219,12 +283,13 @@ def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray) -> tup
         left = np.arange(c.sum()) + np.repeat(bx[part] - np.cumsum(c) + c, c)
         times = np.repeat(d, c)
         right = np.arange(times.sum()) + np.repeat(np.repeat(by[part], c) - np.cumsum(times) + times, times)
+        over = np.repeat(np.repeat(beyond[part], c), times)
         left = np.repeat(left, times)
         i, j = row_x[left].astype(np.int64), row_y[right]
         if x is y:
             once = np.flatnonzero(i < j)
-            left, right, i, j = left[once], right[once], i[once], j[once]
-        value = np.minimum(x.n[at_x[left]], y.n[at_y[right]])
+            left, right, i, j, over = left[once], right[once], i[once], j[once], over[once]
+        value = np.minimum(x.n[at_x[left]], y.n[at_y[right]]) - over
         if x.w is not None:
             value *= x.w[at_x[left]]
         if dense:
@@ -233,11 +298,11 @@ def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray) -> tup
             keys.append(i * len(y.total) + j)
             values.append(value)
     if dense:
-        found = out > 0
+        found = out > 0 if least_met is None or least_met <= 0 else out >= least_met
         if x.total[0] <= 0 and y.total[0] <= 0:  # bags that weigh nothing meet without weight
             found.reshape(len(x.total), -1)[np.ix_(x.total <= 0, y.total <= 0)] = True
-            if x is y:
-                found &= np.triu(np.ones((len(x.total), len(x.total)), bool), 1).ravel()
+        if x is y:
+            found &= np.triu(np.ones((len(x.total), len(x.total)), bool), 1).ravel()
         key = np.flatnonzero(found)
         return key, out[key]
     if not keys:
@@ -257,12 +322,12 @@ def _pairs(x: _Block, y: _Block, name: str, t: float) -> Iterator[tuple[np.ndarr
         return np.where(need <= a.total, a.cut(need, name), np.inf)
 
     cut_x, cut_y = cuts(x, y), cuts(y, x)
-    key, met = _meetings(x, y, cut_x, cut_y)
+    whole = name == "overlap"  # then all that is shared has been met
+    key, met = _meetings(x, y, cut_x, cut_y, t - 2e-6 if whole else None)
     i, j = key // len(y.total), key % len(y.total)
     p, q = x.total[i], y.total[j]
     need = needed(name, t, p, q)
     same = (x.same[i] == y.same[j]).all(axis=1)
-    whole = name == "overlap"  # then all that is shared has been met
     ok = np.flatnonzero((need <= np.minimum(p, q)) & (same | (met >= need) if whole else met >= need - np.maximum(cut_x[i], cut_y[j]) - 1e-6))
     i, j, need, same, met = i[ok], j[ok], need[ok], same[ok], met[ok]
     if not whole and len(i):
