@@ -272,3 +272,26 @@ def test_overlap_multiplies_what_many_rows_have(spark, monkeypatch, weighted):
     want = {k: pytest.approx(v) for k, v in shared.items() if v >= t}
     assert 100 < got == len(want) < 44_000
     assert {(p.id_a, p.id_b): p.sim for p in simjoin.prefix(df, id="id", cols=["t"], similarity_name="overlap", threshold=t, weighted=weighted).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "t"), [("jaccard", 0.7), ("dice", 0.8), ("overlap", 30)])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_copies_are_compared_once(spark, monkeypatch, name, t, weighted):
+    """90 rows of each of 4 texts, of which two match: a pair of bags meets for them, 360 * 359 / 2 pairs of rows before; all pairs of rows come out."""
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS_OUT", 1000)
+    words = [[f"w{g}_{k}" for k in range(40)] for g in range(3)]
+    texts = [" ".join(w) for w in [*words, [*words[0][:39], "other"]]]
+    df = spark.createDataFrame([(i, texts[i % 4]) for i in range(360)], "id long, t string").repartition(3)
+    rows = df.select("id", tokens.word()(df.t).alias("tokens"))
+    sample, one_in = blocks._sample(rows, 360.0)
+    paths = blocks._frequencies(rows.selectExpr("transform(tokens, x -> xxhash64(x)) AS h"), 2) if weighted else None
+    path, found = blocks._written(rows, paths, 360.0, 1.0, blocks._frequent(sample), sample, one_in, 0)
+    at = t / 3 if weighted and name == "overlap" else t  # a word of 90 or 180 rows weighs 0.6 or 0.3
+    x = blocks._Block(f"{path}/block={found[0][0]}", name, at, 360.0)
+    assert sum(len(i) for i, *_ in blocks._pairs(x, x, name, at)) == 1
+    got = [(p.id_a, p.id_b) for p in simjoin.prefix(df, id="id", cols=["t"], similarity_name=name, threshold=at, weighted=weighted).collect()]
+    alike = lambda i, j: i % 4 == j % 4 or {i % 4, j % 4} == {0, 3}
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in range(360) for j in range(i + 1, 360) if alike(i, j)}

@@ -30,6 +30,8 @@ from ..plans.workers import give_back, open_fs
 
 #: A block's rows and tokens at most, about; blocks that a task holds; frequencies read at once; meetings of tokens at once.
 BLOCK_ROWS, BLOCK_TOKENS, TOGETHER, PIECE, MEETINGS = 4096, 2_000_000, 4, 500_000, 4_000_000
+#: Rows given out at once.
+ROWS_OUT = 200_000
 #: Rows sampled to order tokens and to cut blocks, frequent tokens told apart; share of a bag by which first parts are longer than they need be, which rules out more pairs.
 ORDER_ROWS, FREQUENT, LONGER = 8_000, 1 << 16, 0.04
 #: From this share of two blocks' pairs on, those that meet by a token are multiplied, not listed; times a row has a token told apart there, columns at once.
@@ -156,14 +158,18 @@ def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 class _Block:
-    """A block's bags by weight, and their first parts by token."""
+    """A block's different bags by weight, the ids of each, and first parts by token. Equal lists of tokens are compared as one."""
 
     def __init__(self, path: str, name: str, t: float, n_rows: float):
         fs, names = _files(path)
         table = pa.concat_tables(pq.read_table(fs.open_input_file(n)) for n in names).combine_chunks()
         table = table.take(np.argsort(table["total"].to_numpy(), kind="stable"))
-        self.id, self.total = table["id"].combine_chunks(), table["total"].to_numpy()
-        self.same = _flat(table["same"], np.uint64).reshape(-1, 2)
+        first, kind = np.unique(_flat(table["same"], np.uint64).reshape(-1, 2), axis=0, return_index=True, return_inverse=True)[1:]
+        kind = np.argsort(np.argsort(first))[kind.ravel()]  # numbered by weight, too
+        self.id, self.copies = table["id"].combine_chunks().take(pa.array(np.argsort(kind, kind="stable"))), np.bincount(kind)
+        self.from_id = np.cumsum(self.copies) - self.copies
+        table = table.take(np.sort(first))
+        self.total, self.same = table["total"].to_numpy(), _flat(table["same"], np.uint64).reshape(-1, 2)
         self.code, self.n = _flat(table["tokens"], np.uint64), _flat(table["times"], np.uint32).astype(np.float64)
         self.w = None if table["dfs"].null_count else np.log10(n_rows / _flat(table["dfs"], np.uint32))
         self.length = np.array([len(x) // 8 for x in table["tokens"].to_pylist()])
@@ -315,7 +321,7 @@ def _meetings(x: _Block, y: _Block, cut_x: np.ndarray, cut_y: np.ndarray, least_
 
 
 def _pairs(x: _Block, y: _Block, name: str, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of x, rows of y, weight shared, equal lists) of pairs that may match; within a block each pair once."""
+    """(bags of x, bags of y, weight shared, equal lists) of pairs that may match; within a block each pair of different bags once."""
 
     def cuts(a: _Block, b: _Block) -> np.ndarray:
         need = np.maximum(needed(name, t, a.total, b.total[0]), least(name, t, a.total))
@@ -335,11 +341,26 @@ def _pairs(x: _Block, y: _Block, name: str, t: float) -> Iterator[tuple[np.ndarr
         parts = [js for some in np.split(np.arange(len(i)), ends) for js in np.array_split(some, len(some) // 256 + 1)]
         met = np.concatenate([_met(x, i[some[0]], y, j[some]) for some in parts])
     keep = np.flatnonzero((met > 0) & (met >= need) | same)
-    for some in np.array_split(keep, len(keep) // 200_000 + 1):
+    for some in np.array_split(keep, len(keep) // ROWS_OUT + 1):
         if len(some):
             yield i[some], j[some], met[some], same[some]
 
 
+def _of_rows(x: _Block, y: _Block, i: np.ndarray, j: np.ndarray, met: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What pairs of bags are in rows; a bag and itself stand for each two rows that have it."""
+    upto = np.cumsum(x.copies[i] * y.copies[j])
+    for begin in range(0, int(upto[-1]), ROWS_OUT):
+        at = np.arange(begin, min(begin + ROWS_OUT, int(upto[-1])))
+        pair = np.searchsorted(upto, at, "right")
+        p, q = i[pair], j[pair]
+        a, b = np.divmod(at - upto[pair] + x.copies[p] * y.copies[q], y.copies[q])
+        if x is y:
+            once = np.flatnonzero((p != q) | (a < b))
+            pair, p, q, a, b = pair[once], p[once], q[once], a[once], b[once]
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([x.id.take(pa.array(x.from_id[p] + a)), y.id.take(pa.array(y.from_id[q] + b)), pa.array(x.total[p]), pa.array(y.total[q]), pa.array(met[pair]), pa.array(same[pair])], names=["id_x", "id_y", "total_x", "total_y", "met", "same"])
+
+
 def _compare(x_path: str, y_path: str, name: str, t: float, n_rows: float):
     """Tasks (xs, ys: blocks) to (id_x, id_y, total_x, total_y, met, same); within one table a pair of blocks is compared once."""
 
@@ -352,8 +373,10 @@ def _compare(x_path: str, y_path: str, name: str, t: float, n_rows: float):
                     for n, x in xs.items():
                         if x_path == y_path and n > k:
                             continue
-                        for i, j, met, same in _pairs(x, y, name, t):
-                            yield pa.RecordBatch.from_arrays([x.id.take(pa.array(i)), y.id.take(pa.array(j)), pa.array(x.total[i]), pa.array(y.total[j]), pa.array(met), pa.array(same)], names=["id_x", "id_y", "total_x", "total_y", "met", "same"])
+                        for found in _pairs(x, y, name, t):
+                            yield from _of_rows(x, y, *found)
+                        if x is y and len(own := np.flatnonzero((x.copies > 1) & (needed(name, t, x.total, x.total) <= x.total))):
+                            yield from _of_rows(x, x, own, own, x.total[own], np.ones(len(own), bool))
         give_back()
 
     return run
