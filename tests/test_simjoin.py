@@ -295,3 +295,17 @@ def test_copies_are_compared_once(spark, monkeypatch, name, t, weighted):
     alike = lambda i, j: i % 4 == j % 4 or {i % 4, j % 4} == {0, 3}
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i in range(360) for j in range(i + 1, 360) if alike(i, j)}
+
+
+def test_edit_join_pairs_rows_in_many_tasks(spark, monkeypatch):
+    """600 rows of one name: their 179,700 pairs are made by all tasks, not by one."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simjoin, "_ROWS_TOGETHER", 50)
+    df = spark.range(600).selectExpr("id", "'one name' AS name").unionByName(spark.createDataFrame([(600, "one names"), (None, "one name")], "id long, name string"))
+    out = simjoin.edit(df, id="id", cols=["name"], threshold=1)
+    by = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in by) == 600 * 599 // 2 + 600
+    assert max(r.n for r in by) < 0.6 * (600 * 599 // 2)
+    assert out.distinct().count() == 600 * 599 // 2 + 600
+    assert {r.sim for r in out.filter("id_b = 600").collect()} == {1.0}

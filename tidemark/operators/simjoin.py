@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import Metric, bag_weight, edit_distance, intersection_weight, metric, similarity
 from ..functions.tokens import Tokenizer, tokenize, word
-from ..plans.scratch import materialize, shuffles_removed
+from ..plans.scratch import materialize, shuffle_partitions, shuffles_removed
 from . import blocks
 
 
@@ -134,6 +134,8 @@ _LONGEST = (1 << 31) - 1
 _FEW_PAIRS = 20_000_000
 #: Texts are told apart by what their beginnings cost if that takes no more joins than so many.
 _MOST_JOINS = 12
+#: Rows of equal texts that are paired in one task, about.
+_ROWS_TOGETHER = 1000
 
 
 def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[str] | None = None, tokenizer: Tokenizer | None = None, threshold: int = 1) -> DataFrame:
@@ -171,13 +173,28 @@ def edit(a: DataFrame, b: DataFrame | None = None, id: str = "hash", cols: list[
     if b is None:
         near = near.unionByName(x.select(F.col("core").alias("core_i"), F.col("core").alias("core_p"), F.lit(0.0).alias("sim")))
     near = materialize(near, "near")
-    own = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), core(F.col("text")).alias(f"core_{s}"))
-    out = near.join(own(rows_x, "i"), "core_i").join(own(rows_y, "p"), "core_p")
+    out = _rows_paired(near, *[d.select("id", core(F.col("text")).alias("core")) for d in (rows_x, rows_y)])
     if b is None:
         return out.filter("core_i <> core_p AND id_i <> id_p OR id_i < id_p").select(F.least("id_i", "id_p").alias("id_a"), F.greatest("id_i", "id_p").alias("id_b"), "sim")
     return out.filter("id_i <> id_p").select(F.col("id_i").alias("id_a"), F.col("id_p").alias("id_b"), "sim")
 
 
+def _rows_paired(near: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """(core_i, core_p, sim, id_i, id_p) of the rows (id, core) that have the texts of a pair.
+
+    Few pairs of texts may stand for very many of rows. So rows come in lists of ``_ROWS_TOGETHER`` or so, pairs of lists are dealt out
+    to all partitions, and pairs of rows are made there.
+    """
+
+    def lists(rows: DataFrame, s: str) -> DataFrame:
+        of_text = rows.groupBy("core").agg(F.ceil(F.count("*") / _ROWS_TOGETHER).alias("lists"))
+        dealt = rows.join(of_text, "core").withColumn("list", F.pmod(F.xxhash64("id"), F.col("lists")))
+        return dealt.groupBy("core", "list").agg(F.collect_list("id").alias(f"ids_{s}")).select(F.col("core").alias(f"core_{s}"), f"ids_{s}")
+
+    pairs = near.join(lists(x, "i"), "core_i").join(lists(y, "p"), "core_p").repartition(shuffle_partitions(near.sparkSession))
+    return pairs.select("core_i", "core_p", "sim", F.explode("ids_i").alias("id_i"), "ids_p").select("core_i", "core_p", "sim", "id_i", F.explode("ids_p").alias("id_p"))
+
+
 def _near(x: DataFrame, y: DataFrame | None, t: int, limit: int) -> DataFrame:
     """(core_i, core_p, sim) of rows (core, part, length) whose cores lie within ``limit`` edits, of those whose parts lie within ``t``."""
     both_tables = y is not None
