@@ -309,3 +309,15 @@ def test_edit_join_pairs_rows_in_many_tasks(spark, monkeypatch):
     assert max(r.n for r in by) < 0.6 * (600 * 599 // 2)
     assert out.distinct().count() == 600 * 599 // 2 + 600
     assert {r.sim for r in out.filter("id_b = 600").collect()} == {1.0}
+
+
+def test_match_sequence_of_copies_in_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import matchers
+
+    monkeypatch.setattr(simjoin, "_ROWS_TOGETHER", 50)
+    df = spark.range(400).selectExpr("id", "'one name' AS name")
+    sequence = matchers.MatchSequence(lambda a: simjoin.edit(a, id="id", cols=["name"], threshold=1)).add(matchers.by_similarity(1 - (F.col("id_a") + F.col("id_b")) % 2, 1))
+    by = [r.n for r in sequence.run(df).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(by) == 2 * (200 * 199 // 2) and max(by) < 0.6 * sum(by)
