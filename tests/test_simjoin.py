@@ -321,3 +321,28 @@ def test_match_sequence_of_copies_in_many_tasks(spark, monkeypatch):
     sequence = matchers.MatchSequence(lambda a: simjoin.edit(a, id="id", cols=["name"], threshold=1)).add(matchers.by_similarity(1 - (F.col("id_a") + F.col("id_b")) % 2, 1))
     by = [r.n for r in sequence.run(df).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
     assert sum(by) == 2 * (200 * 199 // 2) and max(by) < 0.6 * sum(by)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_blocks_take_little_of_a_frequent_token(spark, monkeypatch, weighted):
+    """Bags of tokens that the sample names take less than half of the 8 + 4 (+ 4 weighted) bytes a token has, and weigh what they did."""
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "ORDER_ROWS", 200)
+    r = random.Random(17)
+    texts = {i: " ".join(f"t{r.randrange(3000)}" for _ in range(400)) + f" only{i}" for i in range(400)}
+    rows = spark.createDataFrame(list(texts.items()), "id long, t string").selectExpr("id", "split(t, ' ') AS tokens").coalesce(1)
+    sample, one_in = blocks._sample(rows, 400.0)
+    paths = blocks._frequencies(rows.selectExpr("transform(tokens, x -> xxhash64(x)) AS h"), 2) if weighted else None
+    path, found = blocks._written(rows, paths, 400.0, 1.0, blocks._frequent(sample), sample, one_in, 0)
+    fs, names = blocks._files(f"{path}/block={found[0][0]}")
+    assert len(found) == 1
+    bags = [Counter(t.split()) for t in texts.values()]
+    size = sum(fs.get_file_info(n).size for n in names)
+    assert size < 0.5 * (16 if weighted else 12) * sum(len(b) for b in bags)
+    df = Counter(t for b in bags for t in b)
+    want = [sum(n * (math.log10(400 / df[t]) if weighted else 1) for t, n in b.items()) for b in bags]
+    block = blocks._Block(f"{path}/block={found[0][0]}", "jaccard", 0.7, 400.0)
+    assert block.total.tolist() == pytest.approx(sorted(want), abs=1e-6)
+    mass = block.n if block.w is None else block.n * block.w
+    assert [mass[s:e].sum() for s, e in zip(block.starts, block.starts[1:], strict=False)] == pytest.approx(sorted(want), abs=1e-6)

@@ -2,7 +2,7 @@
 
 A row's bag is its tokens' 64-bit hashes with how often the row has them, rare tokens first: those that a sample of rows does
 not name as frequent in order of their hashes, the others by rising frequency. Bags are written once, in blocks of rows of like
-size; a task reads a block and those whose sizes let them match. Two bags that match share tokens before the point from
+size, their numbers packed by bytes; a task reads a block and those whose sizes let them match. Two bags that match share tokens before the point from
 which the rest of a bag weighs less than the overlap it needs, and these first parts grow shorter with the weights of the rows
 met. So first parts are joined, weights met there summed up, and pairs whose sum leaves too much to the rest are ruled out; the
 others are compared bag by bag. The order steers the cost alone. An overlap of a fixed weight leaves hardly anything out: there whole bags
@@ -32,6 +32,10 @@ from ..plans.workers import give_back, open_fs
 BLOCK_ROWS, BLOCK_TOKENS, TOGETHER, PIECE, MEETINGS = 4096, 2_000_000, 4, 500_000, 4_000_000
 #: Rows given out at once.
 ROWS_OUT = 200_000
+#: Marks the codes of the sample's frequent tokens, which come last; the rest of such a code is the token's place among them.
+TOP = np.uint64(1) << np.uint64(63)
+#: File beside the blocks: in how many rows each frequent token stands.
+BESIDE = "_frequent.parquet"
 #: Rows sampled to order tokens and to cut blocks, frequent tokens told apart; share of a bag by which first parts are longer than they need be, which rules out more pairs.
 ORDER_ROWS, FREQUENT, LONGER = 8_000, 1 << 16, 0.04
 #: From this share of two blocks' pairs on, those that meet by a token are multiplied, not listed; times a row has a token told apart there, columns at once.
@@ -77,19 +81,28 @@ def _coder(frequent: np.ndarray):
     """Hashes to codes in the order of bags."""
     place = np.argsort(frequent)
     known = frequent[place]
-    top = np.uint64(1) << np.uint64(63)
 
     def code(h: np.ndarray) -> np.ndarray:
         out = h >> np.uint64(1)
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[at] == h
-            out[hit] = top | place[at[hit]].astype(np.uint64)
+            out[hit] = TOP | place[at[hit]].astype(np.uint64)
         return out
 
     return code
 
 
+def _rows_with_frequent(spark, path: str, frequent: np.ndarray, others: float) -> np.ndarray:
+    """In how many rows each of the frequent tokens stands, in their order; one that no file names is in ``others``."""
+    df = np.full(len(frequent), others)
+    if len(frequent):
+        named = spark.createDataFrame(pa.table({"h": frequent.view(np.int64), "at": np.arange(len(frequent))}))
+        found = spark.read.parquet(path).join(F.broadcast(named), "h").select("at", "df").toArrow()  # a bounded number
+        df[found["at"].to_numpy()] = found["df"].to_numpy()
+    return df
+
+
 def _rows_with(path: str, h: np.ndarray, others: float) -> np.ndarray:
     """In how many rows each token of ``h`` (sorted, distinct) stands; one that no file names is in ``others``."""
     df = np.full(len(h), others)
@@ -106,9 +119,15 @@ def _rows_with(path: str, h: np.ndarray, others: float) -> np.ndarray:
     return df
 
 
-def _bags(paths: str | None, n_rows: float, others: float, frequent: np.ndarray, places: np.ndarray):
+def _packed(values: np.ndarray) -> bytes:
+    """All numbers' first bytes, then their second ones and so on: most are the same along a bag, so files and shuffles hold little of them."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _bags(paths: str | None, n_rows: float, others: float, frequent: np.ndarray, of_frequent: np.ndarray | None, places: np.ndarray):
     """Batches (id, share, h) to bags (id, same, block, total, tokens, times, dfs); h holds a token as often as the row. ``places`` has
-    sizes, where their rows begin in the line of blocks, and how much of it they take; ``share`` in [0, 1) spreads rows of a size."""
+    sizes, where their rows begin in the line of blocks, and how much of it they take; ``share`` in [0, 1) spreads rows of a size.
+    ``dfs`` is of the tokens that are not among the frequent ones, whose rows ``of_frequent`` has once for all."""
 
     def many(tables: list[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
         kept, same = [], []
@@ -119,15 +138,15 @@ def _bags(paths: str | None, n_rows: float, others: float, frequent: np.ndarray,
             codes = code(flat)
             for s, e in zip(cuts, cuts[1:], strict=False):
                 c, first, n = np.unique(codes[s:e], return_index=True, return_counts=True)
-                kept.append((c, n.astype(np.uint32), flat[s:e][first] if paths else None))
+                kept.append((c, n.astype(np.uint32), flat[s:e][first[: np.searchsorted(c, TOP)]] if paths else None))
                 same.append(blake2b(flat[s:e].tobytes(), digest_size=16).digest())
         dfs: list[np.ndarray | None] = [None] * len(kept)
         if paths:
             every = np.unique(np.concatenate([h for _, _, h in kept]))
             df = _rows_with(paths, every, others).astype(np.uint32)
             dfs = [df[np.searchsorted(every, h)] for _, _, h in kept]
-        total = [float(n.sum() if d is None else (n * np.log10(n_rows / d)).sum()) for (_, n, _), d in zip(kept, dfs, strict=True)]
-        raw = lambda arrays: pa.array([None if a is None else a.tobytes() for a in arrays], pa.binary())
+        total = [float(n.sum() if d is None else (n * np.log10(n_rows / _all_rows_with(c, d, of_frequent))).sum()) for (c, n, _), d in zip(kept, dfs, strict=True)]
+        raw = lambda arrays: pa.array([None if a is None else _packed(a) for a in arrays], pa.binary())
         k = 0
         for x in tables:
             part = slice(k, k := k + x.num_rows)
@@ -152,11 +171,32 @@ def _bags(paths: str | None, n_rows: float, others: float, frequent: np.ndarray,
     return run
 
 
+def _all_rows_with(code: np.ndarray, dfs: np.ndarray, of_frequent: np.ndarray) -> np.ndarray:
+    """In how many rows each token stands: ``dfs`` says so of those that are not frequent."""
+    often = code >= TOP
+    df = np.empty(len(code))
+    df[often], df[~often] = of_frequent[(code[often] ^ TOP).astype(np.int64)], dfs
+    return df
+
+
 def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     """The values of a column of binary strings, one after the other."""
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of a column that ``_packed`` made, one after the other."""
+    width = np.dtype(kind).itemsize
+    bags = column.to_pylist()
+    out = np.empty((sum(len(x) for x in bags) // width, width), np.uint8)
+    at = 0
+    for x in bags:
+        n = len(x) // width
+        out[at : at + n] = np.frombuffer(x, np.uint8).reshape(width, n).T
+        at += n
+    return out.reshape(-1).view(kind)
+
+
 class _Block:
     """A block's different bags by weight, the ids of each, and first parts by token. Equal lists of tokens are compared as one."""
 
@@ -170,8 +210,9 @@ class _Block:
         self.from_id = np.cumsum(self.copies) - self.copies
         table = table.take(np.sort(first))
         self.total, self.same = table["total"].to_numpy(), _flat(table["same"], np.uint64).reshape(-1, 2)
-        self.code, self.n = _flat(table["tokens"], np.uint64), _flat(table["times"], np.uint32).astype(np.float64)
-        self.w = None if table["dfs"].null_count else np.log10(n_rows / _flat(table["dfs"], np.uint32))
+        self.code, self.n = _unpacked(table["tokens"], np.uint64), _unpacked(table["times"], np.uint32).astype(np.float64)
+        of_frequent = None if table["dfs"].null_count else pq.read_table(fs.open_input_file(f"{open_fs(path)[1].rsplit('/', 1)[0]}/{BESIDE}"))["df"].to_numpy()
+        self.w = None if of_frequent is None else np.log10(n_rows / _all_rows_with(self.code, _unpacked(table["dfs"], np.uint32), of_frequent))
         self.length = np.array([len(x) // 8 for x in table["tokens"].to_pylist()])
         self.starts = np.concatenate([[0], np.cumsum(self.length)])
         mass = self.n if self.w is None else self.n * self.w
@@ -386,6 +427,7 @@ def _written(rows: DataFrame, paths: str | None, n_rows: float, others: float, f
     """Folder of the bags in blocks, and (block, low, high) of each. ``rows`` is (id, tokens)."""
     spark = rows.sparkSession
     least_size = max(1, least_size)
+    of_frequent = _rows_with_frequent(spark, paths, frequent, others) if paths else None
     sizes = sample.groupBy(F.size("h").alias("size")).count().filter(F.col("size") >= least_size).orderBy("size").collect()  # as many as there are sizes
     starts, at = [(least_size, 0.0, 0.0)], 0.0
     for r in sizes:
@@ -394,11 +436,14 @@ def _written(rows: DataFrame, paths: str | None, n_rows: float, others: float, f
         at += span
     hashed = rows.filter(F.size("tokens") >= least_size).select("id", (F.pmod(F.xxhash64("id", F.lit("block")), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("share"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
     kind = dict(rows.dtypes)["id"]
-    bags = hashed.mapInArrow(_bags(paths, n_rows, others, frequent, np.array(starts).T), f"id {kind}, same binary, block int, total double, tokens binary, times binary, dfs binary")
+    bags = hashed.mapInArrow(_bags(paths, n_rows, others, frequent, of_frequent, np.array(starts).T), f"id {kind}, same binary, block int, total double, tokens binary, times binary, dfs binary")
     path = new_path(spark, "blocks")
     with shuffles_removed(spark):
-        bags.repartition(max(1, int(at) + 1), "block").write.partitionBy("block").parquet(path)
+        bags.repartition(max(1, int(at) + 1), "block").write.partitionBy("block").option("compression", "zstd").parquet(path)
     fs, folder = open_fs(path)
+    if paths:
+        with fs.open_output_stream(f"{folder}/{BESIDE}") as out:
+            pq.write_table(pa.table({"df": of_frequent}), out)
     if all(x.type != pafs.FileType.Directory for x in fs.get_file_info(pafs.FileSelector(folder))):
         return path, []
     found = spark.read.parquet(path).groupBy("block").agg(F.min("total").alias("low"), F.max("total").alias("high")).orderBy("block").collect()  # one of each block
